@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,7 @@ from voxtab.functions.text import text_key
 from voxtab.functions.values import compute_once, let
 from voxtab.operators.skew import split_join, top_k
 from voxtab.schemas import SPANS
+from voxtab.sources.catalog import checkpoint
 
 SCORERS: dict[str, Callable[[Column], Column]] = {
     "sentiment": S.sentiment,
@@ -150,11 +151,13 @@ def _word_grams(text: Column, longest: int) -> Column:
     """Distinct runs of 1..longest words (letters and digits), joined by one space."""
     tokens = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
+    def runs(t: Column, n: int) -> Column:
+        return F.transform(t, lambda _, i: F.when(
+            i + n <= F.size(t), F.array_join(F.slice(t, i + 1, n), " ")))
+
     def grams(t: Column) -> Column:
-        runs = [F.transform(t, lambda _, i, n=n: F.when(
-            i + n <= F.size(t), F.array_join(F.slice(t, i + 1, n), " "))) for n in
-            range(1, longest + 1)]
-        return F.array_distinct(F.array_compact(F.concat(*runs)))
+        every = F.concat(*[runs(t, n) for n in range(1, longest + 1)])
+        return F.array_distinct(F.array_compact(every))
 
     return let(tokens, grams)
 
@@ -219,3 +222,23 @@ def entities_with_gazetteer(df: DataFrame, text_col: str, id_col: str, gazetteer
             lambda taken: F.concat(taken, S.without_overlap(p["runs"], taken))),
     )
     return joined.withColumn("entities", compute_once(S.by_start(found))).drop("_names")
+
+
+# --- comment ids ------------------------------------------------------------------------
+
+
+def comment_ids(df: DataFrame, id_col: str) -> DataFrame:
+    """(id, comment_id) with comment_<n> numbered from 0 in id order.
+
+    The ids alone are sorted by range and checkpointed; a row's number is its place
+    in its partition plus the sizes of the partitions before it, one small row each.
+    """
+    ordered = checkpoint(df.select(id_col).orderBy(id_col))
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = ordered.select(id_col, F.spark_partition_id().alias("_p"), place.alias("_i"))
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    number = F.col("_start") + F.col("_i")
+    return placed.join(F.broadcast(starts), "_p").select(
+        id_col, F.concat(F.lit("comment_"), number.cast("string")).alias("comment_id"))

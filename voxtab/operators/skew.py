@@ -43,8 +43,12 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], group_cols: Sequence[s
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
-                  value: Column, out: str) -> DataFrame:
-    """Up to k values per key in order, as an array; same early limit as ``top_k``."""
-    ranked = top_k(df, k, order, keys, "_rn").select(*keys, "_rn", value.alias("_v"))
+                  value: Column, out: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Up to k values per key in order, as an array; same early limit as ``top_k``.
+
+    ``carry`` names columns that are constant within a key and kept as they are.
+    """
+    kept = [*keys, *carry]
+    ranked = top_k(df, k, order, keys, "_rn").select(*kept, "_rn", value.alias("_v"))
     packed = F.sort_array(F.collect_list(F.struct("_rn", "_v")))
-    return ranked.groupBy(*keys).agg(F.transform(packed, lambda s: s["_v"]).alias(out))
+    return ranked.groupBy(*kept).agg(F.transform(packed, lambda s: s["_v"]).alias(out))

@@ -25,33 +25,43 @@ from voxtab.constants import (
 from voxtab.functions.scoring import sentiment_value
 from voxtab.operators.skew import first_per_key, top_k
 
-SLOTS = 1 << 14
 
 
-def distribution(scored: DataFrame, label: Column | str,
-                 group_cols: Sequence[str] = ()) -> DataFrame:
-    """label, cnt, pct of the group's total."""
+def _order_key(id_col: str, pos: Column, slots: int | None) -> Column:
+    """One number for (id, position), so that first-seen order is a plain minimum.
+
+    Both forms keep the counting in a hash aggregate, which a struct would not.
+    ``slots`` bounds the position; without a bound the key is a wide decimal.
+    """
+    if slots is None:
+        return F.col(id_col).cast("decimal(20,0)") * F.lit(1 << 31) + pos
+    return F.col(id_col) * slots + pos
+
+
+def distribution(scored: DataFrame, label: Column | str, group_cols: Sequence[str] = (),
+                 id_col: str | None = None) -> DataFrame:
+    """label, cnt, pct of the group's total; with ``id_col`` also first_id, the tie order."""
     column = F.col(label) if isinstance(label, str) else label
-    counts = scored.groupBy(*group_cols, column.alias("label")).agg(F.count("*").alias("cnt"))
+    first = [F.min(id_col).alias("first_id")] if id_col else []
+    counts = scored.groupBy(*group_cols, column.alias("label")).agg(
+        F.count("*").alias("cnt"), *first)
     total = F.sum("cnt").over(Window.partitionBy(*group_cols))
     return counts.withColumn("pct", F.col("cnt") * 100.0 / total)
 
 
-def sentiment_distribution(scored: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
-    return distribution(scored, "sentiment.label", group_cols)
+def sentiment_distribution(scored: DataFrame, group_cols: Sequence[str] = (),
+                           id_col: str | None = None) -> DataFrame:
+    return distribution(scored, "sentiment.label", group_cols, id_col)
 
 
-def emotion_distribution(scored: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
-    return distribution(scored, "emotion.emotion", group_cols)
+def emotion_distribution(scored: DataFrame, group_cols: Sequence[str] = (),
+                         id_col: str | None = None) -> DataFrame:
+    return distribution(scored, "emotion.emotion", group_cols, id_col)
 
 
 def _mentions(scored: DataFrame, terms: Column, fields: Sequence[str], text_col: str, id_col: str,
-              group_cols: Sequence[str]) -> DataFrame:
-    """One row per mention: the term's fields, comment sentiment, order key, text sample.
-
-    The order key is one long (id, then position), which keeps the counting in a
-    hash aggregate; an id too large for it fails loudly instead of wrapping.
-    """
+              group_cols: Sequence[str], slots: int | None) -> DataFrame:
+    """One row per mention: the term's fields, comment sentiment, order key, text sample."""
     return scored.select(
         *group_cols,
         id_col,
@@ -63,7 +73,7 @@ def _mentions(scored: DataFrame, terms: Column, fields: Sequence[str], text_col:
         *[(F.col("_term") if f == "*" else F.col(f"_term.{f}")).alias(n)
           for f, n in (x.split(" as ") for x in fields)],
         "value", "sample",
-        (F.col(id_col) * SLOTS + F.col("_pos")).alias("order_key"),
+        _order_key(id_col, F.col("_pos"), slots).alias("order_key"),
     )
 
 
@@ -83,10 +93,10 @@ def _with_samples(ranked: DataFrame, mentions: DataFrame, keys: Sequence[str], n
     the planner chooses, and adaptive execution splits a key that is too hot.
     """
     on = [*group_cols, *keys]
-    winners = ranked.select(*on)
-    pool = mentions.join(winners if group_cols else F.broadcast(winners), on, "left_semi")
-    samples = first_per_key(pool, on, [F.col("order_key")], n, F.col("sample"), out)
-    return ranked.join(samples, on, "left")
+    winners = ranked.withColumnRenamed("order_key", "_first")
+    pool = mentions.drop("value").join(winners if group_cols else F.broadcast(winners), on)
+    carry = [c for c in winners.columns if c not in on]
+    return first_per_key(pool, on, [F.col("order_key")], n, F.col("sample"), out, carry)
 
 
 def topic_summary(scored: DataFrame, text_col: str, id_col: str, k: int = TOP_TOPICS,
@@ -94,11 +104,11 @@ def topic_summary(scored: DataFrame, text_col: str, id_col: str, k: int = TOP_TO
                   group_cols: Sequence[str] = ()) -> DataFrame:
     """rank, topic, cnt, avg_sentiment [, sample_comments] of the k most used topics."""
     mentions = _mentions(scored, F.slice("topics.topics", 1, per_row), ["* as topic"],
-                         text_col, id_col, group_cols)
+                         text_col, id_col, group_cols, per_row)
     ranked = _ranked(mentions, ["topic"], k, group_cols)
     if samples:
         ranked = _with_samples(ranked, mentions, ["topic"], samples, "sample_comments", group_cols)
-    return ranked.drop("order_key")
+    return ranked.drop("order_key", "_first")
 
 
 def entity_summary(scored: DataFrame, text_col: str, id_col: str, k: int = TOP_ENTITIES,
@@ -106,11 +116,11 @@ def entity_summary(scored: DataFrame, text_col: str, id_col: str, k: int = TOP_E
     """rank, text, type, cnt (mentions), sentiment [, contexts] of the k most named."""
     keys = ["text", "type"]
     mentions = _mentions(scored, F.col("entities"), ["text as text", "type as type"],
-                         text_col, id_col, group_cols)
+                         text_col, id_col, group_cols, None)
     ranked = _ranked(mentions, keys, k, group_cols)
     if contexts:
         ranked = _with_samples(ranked, mentions, keys, contexts, "contexts", group_cols)
-    return ranked.drop("order_key").withColumnRenamed("avg_sentiment", "sentiment")
+    return ranked.drop("order_key", "_first").withColumnRenamed("avg_sentiment", "sentiment")
 
 
 def top_keyphrases(scored: DataFrame, id_col: str, k: int = TOP_KEYPHRASES,
@@ -119,13 +129,14 @@ def top_keyphrases(scored: DataFrame, id_col: str, k: int = TOP_KEYPHRASES,
     phrases = scored.select(
         *group_cols, id_col,
         F.posexplode(F.slice("keyphrases.keyphrases", 1, per_row)).alias("_pos", "keyphrase"))
-    return keyphrase_ranking(phrases, id_col, "_pos", k, group_cols)
+    return keyphrase_ranking(phrases, id_col, "_pos", k, per_row, group_cols)
 
 
 def keyphrase_ranking(phrases: DataFrame, id_col: str, pos_col: str, k: int = TOP_KEYPHRASES,
+                      slots: int = KEYPHRASES_USED,
                       group_cols: Sequence[str] = ()) -> DataFrame:
-    """The same from a long table of phrases with their position in the comment."""
-    order_key = F.min(F.col(id_col) * SLOTS + F.col(pos_col)).alias("order_key")
+    """The same from a long table of phrases with their position (below ``slots``)."""
+    order_key = F.min(_order_key(id_col, F.col(pos_col), slots)).alias("order_key")
     counted = phrases.groupBy(*group_cols, "keyphrase").agg(
         F.count("*").alias("cnt"), order_key)
     order = [F.desc("cnt"), F.asc("order_key")]
