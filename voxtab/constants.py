@@ -85,11 +85,13 @@ HIT_LOGIT = 4.0
 NEUTRAL_LOGIT = 2.0
 
 # --- entity rules (a choice of this package), in order of precedence ---------------
+# type, texts of which a match holds at least one, pattern, confidence
 ENTITY_RULES = [
-    ("EMAIL", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 1.0),
-    ("URL", r"https?://[^\s<>\"]+|www\.[^\s<>\"]+", 1.0),
-    ("MONEY", r"[$€£]\s?\d[\d,]*(?:\.\d+)?", 1.0),
-    ("DATE", r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}", 1.0),
+    ("EMAIL", ["@"],
+     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 1.0),
+    ("URL", ["http", "www."], r"https?://[^\s<>\"]+|www\.[^\s<>\"]+", 1.0),
+    ("MONEY", ["$", "€", "£"], r"[$€£]\s?\d[\d,]*(?:\.\d+)?", 1.0),
+    ("DATE", ["-", "/"], r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}", 1.0),
 ]
 GAZETTEER_CONFIDENCE = 0.9
 CAPITALISED_RUN = ("MISC", r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+", 0.5)

@@ -108,10 +108,11 @@ def topics(text: Column) -> Column:
     )
 
 
-def find_spans(text: Column, pattern: str, kind: str, confidence: float) -> Column:
+def find_spans(text: Column, pattern: str, kind: str, confidence: float,
+               marks: Sequence[str] = ()) -> Column:
     """Every match of a pattern as array of struct(text, type, start, end, confidence).
 
-    Matches are fenced by two noncharacters, the text is cut at the fences, and a
+    Texts without any of ``marks`` are not searched at all. Matches are fenced by two noncharacters, the text is cut at the fences, and a
     fold over the pieces (every second one is a match) adds up the offsets.
     """
     fences = "\ufdd0\ufdd1"
@@ -132,7 +133,13 @@ def find_spans(text: Column, pattern: str, kind: str, confidence: float) -> Colu
         )
 
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), none.alias("found"))
-    return F.aggregate(F.split(fenced, f"[{fences}]"), start, step, lambda a: a["found"])
+    found = F.aggregate(F.split(fenced, f"[{fences}]"), start, step, lambda a: a["found"])
+    if not marks:
+        return found
+    worth = F.lit(False)
+    for mark in marks:
+        worth = worth | F.contains(text, F.lit(mark))
+    return F.when(worth, found).otherwise(none)
 
 
 def without_overlap(spans: Column, taken: Column) -> Column:
@@ -144,10 +151,10 @@ def without_overlap(spans: Column, taken: Column) -> Column:
 def rule_entities(text: Column) -> Column:
     """E-mail, URL, money and date spans; an earlier rule keeps its span."""
     found = F.array().cast(SPANS)
-    for kind, pattern, confidence in ENTITY_RULES:
+    for kind, marks, pattern, confidence in ENTITY_RULES:
         found = let(
             F.struct(found.alias("old"),
-                     find_spans(text, pattern, kind, confidence).alias("new")),
+                     find_spans(text, pattern, kind, confidence, marks).alias("new")),
             lambda p: F.concat(p["old"], without_overlap(p["new"], p["old"])),
         )
     return found

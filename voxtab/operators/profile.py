@@ -19,9 +19,11 @@ from voxtab.constants import (
 from voxtab.functions.markdown import strip_fence
 from voxtab.functions.text import truncate_sample
 from voxtab.functions.values import fixed
+from voxtab.operators.skew import top_k
 from voxtab.schemas import DECISION
 
 SAMPLE = 100
+WINDOW = 1000
 SHOWN = 3
 
 
@@ -37,28 +39,62 @@ def printed(c: Column, kind: T.DataType) -> Column:
     return c.cast("string")
 
 
-def column_heads(df: DataFrame, order_col: str, sample: int = SAMPLE) -> DataFrame:
-    """position, column, nr, value: the first non-null values of every column, as text.
+def _present(field: T.StructField) -> Column:
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        return c.isNotNull() & ~F.isnan(c)
+    return c.isNotNull()
+
+
+def _from_head(head: DataFrame, order_col: str, fields: list[tuple[int, T.StructField]],
+               sample: int) -> DataFrame:
+    """First values of many columns from a head of a few hundred rows."""
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
+                 F.when(_present(f), printed(F.col(f"`{f.name}`"), f.dataType)).alias("value"))
+        for i, f in fields])
+    long = head.select(F.col(f"`{order_col}`").alias("_order"), F.inline(cells))
+    return top_k(long.where(F.col("value").isNotNull()), sample, [F.col("_order")],
+                 ["position", "column"]).select("position", "column", "_order", "value")
+
+
+def _from_column(df: DataFrame, order_col: str, position: int, field: T.StructField,
+                 sample: int) -> DataFrame:
+    """First values of one column, read on its own and cut by a heap per partition."""
+    return (
+        df.where(_present(field))
+        .select(F.col(f"`{order_col}`").alias("_order"), F.col(f"`{field.name}`").alias("_c"))
+        .orderBy("_order").limit(sample)
+        .select(F.lit(position).alias("position"), F.lit(field.name).alias("column"), "_order",
+                printed(F.col("_c"), field.dataType).alias("value"))
+    )
 
-    Every column is read on its own (with the order column) and cut by a bounded
-    heap per partition, so no column is sorted or shuffled as a whole.
-    """
 
-    def head(position: int, field: T.StructField) -> DataFrame:
-        c = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            present = c.isNotNull() & ~F.isnan(c)
-        else:
-            present = c.isNotNull()
-        value = printed(F.col("_c"), field.dataType)
-        return (
-            df.where(present).select(F.col(f"`{order_col}`").alias("_order"), c.alias("_c"))
-            .orderBy("_order").limit(sample)
-            .select(F.lit(position).alias("position"), F.lit(field.name).alias("column"),
-                    "_order", value.alias("value"))
-        )
-
-    return reduce(DataFrame.unionAll, [head(i, f) for i, f in enumerate(df.schema.fields)])
+def column_heads(df: DataFrame, order_col: str, sample: int = SAMPLE,
+                 window: int = WINDOW) -> DataFrame:
+    """position, column, _order, value: the first non-null values of every column, as text.
+
+    The unique order column alone gives the end of a short head; the head is then
+    read with a pushed-down range filter, which skips the rest of an ordered table.
+    Only columns too sparse to fill their sample there are read in full, each on
+    its own.
+    """
+    fields = list(enumerate(df.schema.fields))
+    order = F.col(f"`{order_col}`")
+    ids = df.select(order.alias("_order")).where(F.col("_order").isNotNull())
+    end, rows = ids.orderBy("_order").limit(window).agg(F.max("_order"), F.count("*")).first()
+    if not rows:
+        return reduce(DataFrame.unionAll,
+                      [_from_column(df, order_col, i, f, sample) for i, f in fields])
+    head = df.where(order <= F.lit(end))
+    if rows < window:
+        return _from_head(head, order_col, fields, sample)
+    filled = head.agg(*[F.count_if(_present(f)) for _, f in fields]).first()
+    full = [x for x, n in zip(fields, filled) if n >= sample]
+    parts = [_from_head(head, order_col, full, sample)] if full else []
+    parts += [_from_column(df, order_col, i, f, sample)
+              for (i, f), n in zip(fields, filled) if n < sample]
+    return reduce(DataFrame.unionAll, parts)
 
 
 def _name_keyword(column: Column) -> Column:

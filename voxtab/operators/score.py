@@ -147,8 +147,8 @@ def with_keyphrases(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
 # --- gazetteer entities ----------------------------------------------------------------
 
 
-def _word_grams(text: Column, longest: int) -> Column:
-    """Distinct runs of 1..longest words (letters and digits), joined by one space."""
+def _word_grams(text: Column, lengths: Sequence[int]) -> Column:
+    """Distinct runs of so many words (letters and digits), joined by one space."""
     tokens = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
     def runs(t: Column, n: int) -> Column:
@@ -156,7 +156,7 @@ def _word_grams(text: Column, longest: int) -> Column:
             i + n <= F.size(t), F.array_join(F.slice(t, i + 1, n), " ")))
 
     def grams(t: Column) -> Column:
-        every = F.concat(*[runs(t, n) for n in range(1, longest + 1)])
+        every = F.concat(*[runs(t, n) for n in lengths])
         return F.array_distinct(F.array_compact(every))
 
     return let(tokens, grams)
@@ -202,18 +202,25 @@ def entities_with_gazetteer(df: DataFrame, text_col: str, id_col: str, gazetteer
     is broadcast only after a check that it has few rows; beyond that the join is
     left to the planner. Names are runs of at most ``longest`` words.
     """
-    names = gazetteer.select(F.col("name").alias("_gram"), "type").dropDuplicates(["_gram"])
+    n_words = F.size(F.split("_gram", " "))
+    names = (
+        gazetteer.select(F.col("name").alias("_gram"), "type").dropDuplicates(["_gram"])
+        .where(n_words <= longest)
+    )
+    lengths = sorted(r[0] for r in names.select(n_words).distinct().collect())
     if names.limit(GAZETTEER_BROADCAST_ROWS + 1).count() <= GAZETTEER_BROADCAST_ROWS:
         names = F.broadcast(names)
-    grams = df.select(id_col, F.explode(
-        compute_once(_word_grams(F.col(text_col), longest))).alias("_gram"))
-    hits = grams.join(names, "_gram").groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_gram").alias("name"), "type")))
-        .alias("_names"))
-    joined = df.join(hits, id_col, "left")
-    none = F.array().cast("array<struct<name:string,type:string>>")
     text = F.col(text_col)
-    found = let(
+    none = F.array().cast("array<struct<name:string,type:string>>")
+    if lengths:
+        grams = df.select(id_col, F.explode(
+            compute_once(_word_grams(text, lengths))).alias("_gram"))
+        found = F.collect_list(F.struct(F.col("_gram").alias("name"), "type"))
+        hits = grams.join(names, "_gram").groupBy(id_col).agg(F.sort_array(found).alias("_names"))
+        df = df.join(hits, id_col, "left")
+    else:
+        df = df.withColumn("_names", none)
+    spans = let(
         F.struct(S.rule_entities(text).alias("rules"),
                  _name_spans(text, F.coalesce("_names", none)).alias("names"),
                  S.capitalised_runs(text).alias("runs")),
@@ -221,7 +228,7 @@ def entities_with_gazetteer(df: DataFrame, text_col: str, id_col: str, gazetteer
             F.concat(p["rules"], S.without_overlap(p["names"], p["rules"])),
             lambda taken: F.concat(taken, S.without_overlap(p["runs"], taken))),
     )
-    return joined.withColumn("entities", compute_once(S.by_start(found))).drop("_names")
+    return df.withColumn("entities", compute_once(S.by_start(spans))).drop("_names")
 
 
 # --- comment ids ------------------------------------------------------------------------

@@ -82,7 +82,7 @@ def preview(spark: SparkSession, d: str) -> DataFrame:
                      "event_id")
 
 
-@query("""SELECT count(*) AS n_rows, 6 AS n_columns,
+@query("""SELECT count(*) AS n_rows, 6::BIGINT AS n_columns,
   'event_id,ts,user_id,event_type,value,props' AS columns FROM events""")
 def table_shape(spark: SparkSession, d: str) -> DataFrame:
     return K.table_shape(K.read_table(spark, d, "events")).withColumn(
@@ -116,7 +116,7 @@ def _profiles(spark: SparkSession, d: str, make: Callable[[DataFrame, str], Data
     return out
 
 
-@query(O.with_(O.heads(), body="""SELECT tbl, col, count(*) AS n, sum(length(value)) AS chars
+@query(O.with_(O.heads(), body="""SELECT tbl, col, count(*) AS n, sum(length(value))::BIGINT AS chars
   FROM heads GROUP BY 1, 2"""))
 def column_heads(spark: SparkSession, d: str) -> DataFrame:
     def heads(df: DataFrame, key: str) -> DataFrame:
@@ -129,8 +129,8 @@ def column_heads(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(O.with_(O.heads(), O.COLUMN_SCORES, body="""SELECT tbl, col, round(len, 6) AS mean_length,
-  round(sp, 6) AS space_share, ns AS name_score, ls AS length_score, ss AS space_score,
-  round(confidence, 6) AS confidence FROM col_scores"""))
+  round(sp, 6)::DOUBLE AS space_share, ns::DOUBLE AS name_score, ls::DOUBLE AS length_score,
+  ss::DOUBLE AS space_score, round(confidence, 6)::DOUBLE AS confidence FROM col_scores"""))
 def column_scores(spark: SparkSession, d: str) -> DataFrame:
     return _profiles(spark, d, P.column_confidence).select(
         "tbl", F.col("column").alias("col"), rounded("mean_length"), rounded("space_share"),
@@ -142,7 +142,7 @@ def column_scores(spark: SparkSession, d: str) -> DataFrame:
   WHERE confidence > 0)""", """shown AS (SELECT tbl, col, string_agg(CASE WHEN length(value) > 100
   THEN substring(value, 1, 97) || '...' ELSE value END, chr(10) ORDER BY nr) AS samples
   FROM heads WHERE nr <= 3 GROUP BY 1, 2)""", body="""SELECT tbl, rank, col,
-  round(confidence, 6) AS confidence, samples FROM ranked JOIN shown USING (tbl, col)
+  round(confidence, 6)::DOUBLE AS confidence, samples FROM ranked JOIN shown USING (tbl, col)
   WHERE rank <= 3"""))
 def text_column_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _profiles(spark, d, P.text_column_candidates).select(
@@ -344,7 +344,7 @@ def _shout_model():
 MODEL_SCHEMA = T.StructType([
     T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
 
-_SHOUT_SQL = r"""shout AS (SELECT id, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')
+_SHOUT_SQL = r"""shout AS (SELECT id, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g'))
   / length(t) AS s FROM {0})"""
 _SHOUT_OUT = """SELECT id AS doc_id, CASE WHEN s > 0.1 THEN 'loud' ELSE 'calm' END AS label,
   round(s, 6) AS score FROM shout"""
@@ -716,7 +716,7 @@ def attempt_overview(spark: SparkSession, d: str) -> DataFrame:
 # --- I: accounting -----------------------------------------------------------------------------------
 
 
-@query("""SELECT conv_id, role, sum(length(text) // 4) AS tokens FROM conversations
+@query("""SELECT conv_id, role, sum(length(text) // 4)::BIGINT AS tokens FROM conversations
   GROUP BY 1, 2""")
 def token_estimates(spark: SparkSession, d: str) -> DataFrame:
     return chats(spark, d).groupBy("conv_id", "role").agg(
@@ -766,14 +766,14 @@ def _worked():
 
 @query("""SELECT user_id, count(*) AS total_calls, count(*) FILTER (event_type <> 'error')
   AS successful_calls, count(*) FILTER (event_type = 'error') AS failed_calls,
-  round(count(*) FILTER (event_type <> 'error') / count(*) * 100, 2) AS success_rate,
+  round_even(count(*) FILTER (event_type <> 'error') / count(*) * 100, 2) AS success_rate,
   round(sum(value), 2) AS total_time_seconds, round(avg(value), 3) AS average_time_seconds,
   round(min(value), 3) AS min_time_seconds, round(max(value), 3) AS max_time_seconds,
-  arg_max(value, (ts, event_id)) AS last_execution_time, round(sum(value / 1000), 4) AS total_cost,
-  round(sum(value / 1000) / count(*), 6) AS average_cost FROM events GROUP BY user_id""")
+  arg_max(value, (ts, event_id)) AS last_execution_time, round(sum(value), 4) AS total_cost,
+  round(sum(value) / count(*), 6) AS average_cost FROM events GROUP BY user_id""")
 def call_metrics(spark: SparkSession, d: str) -> DataFrame:
-    log = _events(spark, d).withColumn("cost", F.col("value") / 1000)
-    return A.call_metrics(log, "user_id", "value", _worked(), ["ts", "event_id"], "cost")
+    return A.call_metrics(_events(spark, d), "user_id", "value", _worked(), ["ts", "event_id"],
+                          "value")
 
 
 @query("""SELECT user_id, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95,
@@ -797,7 +797,7 @@ def range_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(O.with_(*O.comments(), body=" UNION ALL ".join(
-    f"SELECT '{r}' AS rule, 0 AS failing, count(*) AS checked FROM kept"
+    f"SELECT '{r}' AS rule, 0::BIGINT AS failing, count(*) AS checked FROM kept"
     for r in A.RULE_NAMES)))
 def score_bounds(spark: SparkSession, d: str) -> DataFrame:
     return A.range_checks(scored(spark, d), A.score_rules())

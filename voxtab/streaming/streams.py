@@ -44,7 +44,7 @@ def period_comparison(events: DataFrame, ts_col: str, label: str, unit: str = "w
 
     The windows run over one row per period and label, not over the events.
     """
-    period = F.date_trunc(unit, ts_col).alias("period")
+    period = F.date_trunc(unit, ts_col).cast(events.schema[ts_col].dataType).alias("period")
     counts = events.groupBy(period, F.col(label).alias("label")).agg(F.count("*").alias("cnt"))
     share = F.col("cnt") / F.sum("cnt").over(Window.partitionBy("period"))
     before = Window.partitionBy("label").orderBy("period")
