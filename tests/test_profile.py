@@ -25,7 +25,7 @@ def test_ranking_and_ties(reviews):
 
 def test_reasons_and_samples(reviews):
     best = P.text_column_candidates(reviews, "n").first()
-    assert best.reason == ("Column name contains 'review'; Long average text length (60 chars); "
+    assert best.reason == ("Column name contains 'review'; Long average text length (61 chars); "
                            "Multi-word text (100%)")
     assert len(best.sample_values) == 3
 

@@ -48,7 +48,7 @@ def test_sentiment_of_no_hits(spark):
 
 def test_emotion(spark):
     got = one(spark, S.emotion, "I am so happy and delighted")
-    assert got.emotion == "joy" and list(got.scores) == EMOTIONS
+    assert got.emotion == "joy" and set(got.scores) == set(EMOTIONS)
     tie = one(spark, S.emotion, "angry and sad")
     assert tie.emotion == "anger"
     assert one(spark, S.emotion, "a table").emotion == "neutral"
@@ -66,9 +66,7 @@ def test_entities_have_exact_offsets(spark):
 
 def test_earlier_rule_keeps_its_span(spark):
     got = one(spark, S.entities, "https://a.org/2024-03-01/x@y.com")
-    assert [e.type for e in got] == ["EMAIL"] or [e.type for e in got] == ["URL"]
-    spans = sorted((e.start, e.end) for e in got)
-    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert [e.type for e in got] == ["DATE", "EMAIL"]
 
 
 def test_gazetteer(spark):
@@ -141,24 +139,22 @@ def test_scorer_subset_and_defaults(spark):
     assert "topics" not in row
 
 
-def _counting_model():
-    return lambda texts: [len(t) + 1000 * len(texts) for t in texts]
-
-
-def _broken_model():
-    def run(texts):
-        raise RuntimeError("model failed")
-    return run
+def test_user_model_runs_in_batches_and_fails_loudly(spark):
+    def counting():
+        return lambda texts: [len(t) + 1000 * len(texts) for t in texts]
 
+    def broken():
+        def run(texts):
+            raise RuntimeError("model failed")
+        return run
 
-def test_user_model_runs_in_batches_and_fails_loudly(spark):
     df = spark.createDataFrame([(i, "x" * i) for i in range(70)], "id long, text string").coalesce(1)
-    got = SC.apply_scorer(df, "text", _counting_model, "n", T.LongType(), 32).collect()
+    got = SC.apply_scorer(df, "text", counting, "n", T.LongType(), 32).collect()
     assert Counter(r.n // 1000 for r in got) == {32: 64, 6: 6}
     with pytest.raises(ValueError):
-        SC.apply_scorer(df, "text", _counting_model, "n", T.LongType(), 0)
+        SC.apply_scorer(df, "text", counting, "n", T.LongType(), 0)
     with pytest.raises(Exception, match="model failed"):
-        SC.apply_scorer(df, "text", _broken_model, "n", T.LongType()).count()
+        SC.apply_scorer(df, "text", broken, "n", T.LongType()).count()
 
 
 def test_each_distinct_text_is_scored_once(spark):
@@ -266,4 +262,4 @@ def test_ids_near_the_top_of_the_range(spark):
                                "id long, text string")
     s = SC.score(df, "text")
     assert U.entity_summary(s, "text", "id").first().cnt == 3
-    assert U.topic_summary(s, "text", "id").count() == 2
+    assert U.topic_summary(s, "text", "id").first().cnt == 3

@@ -332,13 +332,16 @@ def disabled_scorers(spark: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("cnt"))
 
 
-def _shout_model():
-    """A stand-in for a user model: share of capitals, as label and score."""
-    def run(texts: list[str]) -> list[dict]:
-        shares = [sum(c.isupper() for c in t) / len(t) for t in texts]
-        return [{"label": "loud" if s > 0.1 else "calm", "score": s} for s in shares]
+def shares_of_capitals():
+    """A stand-in for a user model; built here so that it travels to the workers by value."""
+    def load():
+        def run(texts: list[str]) -> list[dict]:
+            shares = [sum(c.isupper() for c in t) / len(t) for t in texts]
+            return [{"label": "loud" if s > 0.1 else "calm", "score": s} for s in shares]
 
-    return run
+        return run
+
+    return load
 
 
 MODEL_SCHEMA = T.StructType([
@@ -352,7 +355,7 @@ _SHOUT_OUT = """SELECT id AS doc_id, CASE WHEN s > 0.1 THEN 'loud' ELSE 'calm' E
 
 @query(O.with_(*O.comments(), _SHOUT_SQL.format("kept"), body=_SHOUT_OUT))
 def user_scorer(spark: SparkSession, d: str) -> DataFrame:
-    rows = SC.apply_scorer(kept(spark, d), "text", _shout_model, "mood", MODEL_SCHEMA)
+    rows = SC.apply_scorer(kept(spark, d), "text", shares_of_capitals(), "mood", MODEL_SCHEMA)
     return rows.select("doc_id", "mood.label", F.round("mood.score", 6).alias("score"))
 
 
@@ -361,7 +364,7 @@ def score_distinct_texts(spark: SparkSession, d: str) -> DataFrame:
     rows = C.with_clean_text(docs(spark, d).select("doc_id", "text"), "text").select(
         "doc_id", F.col("clean_text").alias("text"))
     out = SC.score_distinct(rows, "text", lambda t: SC.apply_scorer(
-        t, "text", _shout_model, "mood", MODEL_SCHEMA))
+        t, "text", shares_of_capitals(), "mood", MODEL_SCHEMA))
     return out.select("doc_id", "mood.label", F.round("mood.score", 6).alias("score"))
 
 
