@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,52 +14,83 @@ from voxtab.constants import (
     SHOUT_SHARE,
     SPAM_PATTERNS,
 )
+from voxtab.functions.values import let
 
 SPACE = r"[\s\x1c-\x1f]"
 NOT_SPACE = r"[^\s\x1c-\x1f]"
-
-# The same test in linear time: the first keyword and the first space after it
-# leave the longest tail, so trying any later one cannot succeed where they fail.
-LINEAR_FORM = {
-    r"http.*\s.*http": r"^(?>.*?http)(?>.*?\s).*http",
-    r"(free|win|winner|prize).*now": r"^(?>.*?(?:free|win|prize)).*now",
+ODD_SPACE = r"[\s\x1c-\x1f&&[^ ]]"
+
+# How each spam pattern is tested: texts of which every group must supply one (a
+# byte search that settles most rows), then a regex where those alone do not decide.
+# The anchored forms are linear: the first keyword and the first space after it
+# leave the longest tail, so no later one can succeed where they fail.
+SPAM_TESTS = {
+    r"(buy|click|visit|check)\s+(now|here|this)": (
+        [["buy", "click", "visit", "check"], ["now", "here", "this"]],
+        r"(buy|click|visit|check)\s+(now|here|this)"),
+    r"http.*\s.*http": ([["http"]], r"^(?>.*?http)(?>.*?\s).*http"),
+    r"(!!!){2,}": ([["!!!!!!"]], None),
+    r"(\$\$\$|€€€|£££)": ([["$$$", "€€€", "£££"]], None),
+    r"(free|win|winner|prize).*now": (
+        [["free", "win", "prize"], ["now"]], r"^(?>.*?(?:free|win|prize)).*now"),
+    r"(viagra|cialis|pharmacy)": ([["viagra", "cialis", "pharmacy"]], None),
 }
 
 
+def has_any(c: Column, texts: Sequence[str]) -> Column:
+    out = F.contains(c, F.lit(texts[0]))
+    for text in texts[1:]:
+        out = out | F.contains(c, F.lit(text))
+    return out
+
+
 def strip_html(c: Column) -> Column:
     # Past the last ">" no tag can close; leaving that tail out keeps this linear.
-    split_at = F.length(c) - F.coalesce(F.nullif(F.instr(F.reverse(c), ">"), F.lit(0)),
-                                        F.length(c) + 1) + 1
-    head = F.regexp_replace(F.substring(c, F.lit(1), split_at), "<[^>]+>", "")
-    return F.when(F.contains(c, F.lit("<")),
-                  F.concat(head, F.substring(c, split_at + 1, F.length(c)))).otherwise(c)
+    tail = F.coalesce(F.nullif(F.instr(F.reverse(c), ">"), F.lit(0)) - 1, F.length(c))
+    cut = F.length(c) - tail
+    head = F.regexp_replace(F.substring(c, F.lit(1), cut), "<[^>]+>", "")
+    return F.when(has_any(c, ["<"]),
+                  F.concat(head, F.substring(c, cut + 1, F.length(c)))).otherwise(c)
 
 
 def strip_urls(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)http{NOT_SPACE}+|www\.{NOT_SPACE}+", "")
+    pattern = rf"(?U)http{NOT_SPACE}+|www\.{NOT_SPACE}+"
+    return F.when(has_any(c, ["http", "www."]), F.regexp_replace(c, pattern, "")).otherwise(c)
 
 
 def squeeze_spaces(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
+    # Only runs that are not one plain space already are matched and replaced.
+    return F.trim(F.regexp_replace(c, rf"(?U) ?{ODD_SPACE}{SPACE}*|  {SPACE}*", " "))
 
 
 def clean_text(c: Column) -> Column:
     """Tags out, then URLs, then runs of whitespace to one space, then trim."""
-    return squeeze_spaces(strip_urls(strip_html(c)))
+    return squeeze_spaces(let(strip_html(c), strip_urls))
 
 
 def spam_patterns(clean: Column) -> Column:
     """True where any spam pattern is found, in any case (long s and dotless i included)."""
-    low = F.translate(F.lower(clean), "ſı", "si")
-    found = F.lit(False)
-    for pattern in SPAM_PATTERNS:
-        found = found | low.rlike(LINEAR_FORM.get(pattern, pattern))
-    return found
+
+    def found(low: Column) -> Column:
+        out = F.lit(False)
+        for pattern in SPAM_PATTERNS:
+            groups, regex = SPAM_TESTS[pattern]
+            hit = has_any(low, groups[0])
+            for group in groups[1:]:
+                hit = hit & has_any(low, group)
+            out = out | (hit & low.rlike(regex) if regex else hit)
+        return out
+
+    def plain(low: Column) -> Column:
+        return F.when(has_any(low, ["ſ", "ı"]), F.translate(low, "ſı", "si")).otherwise(low)
+
+    return let(let(F.lower(clean), plain), found)
 
 
 def is_shouting(clean: Column) -> Column:
     """More than 70 % capitals, over all characters, in texts longer than 10."""
-    capitals = F.length(F.regexp_replace(clean, r"[^\p{IsUppercase}]", ""))
+    others = F.length(F.regexp_replace(clean, r"\p{IsUppercase}+", ""))
+    capitals = F.length(clean) - others
     return (F.length(clean) > SHOUT_MIN_LENGTH) & (capitals / F.length(clean) > SHOUT_SHARE)
 
 

@@ -65,12 +65,13 @@ def score_distinct(df: DataFrame, text_col: str,
                    scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Score each distinct text once and hand the result to all its copies.
 
-    ``scorer`` takes a frame with ``text_col`` and adds columns to it.
+    ``scorer`` takes a frame with ``text_col`` and adds columns to it. Its result is
+    checkpointed, so that a costly model does not run again for the joins.
     """
     keyed = df.withColumn("_key", compute_once(text_key(F.coalesce(text_col, F.lit("")))))
     distinct = keyed.groupBy("_key").agg(
         F.first(text_col, ignorenulls=True).alias(text_col), F.count("*").alias("_copies"))
-    scored = scorer(distinct).drop(text_col)
+    scored = checkpoint(scorer(distinct).drop(text_col))
     return split_join(keyed, scored, ["_key"], "_copies").drop("_key", "_copies")
 
 

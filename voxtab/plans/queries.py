@@ -22,6 +22,7 @@ from voxtab.operators import quality as Q
 from voxtab.operators import report as R
 from voxtab.operators import score as SC
 from voxtab.operators import summarise as U
+from voxtab.operators.skew import top_k
 from voxtab.plans import oracle as O
 from voxtab.plans.pipeline import analyse
 from voxtab.sources import catalog as K
@@ -300,14 +301,15 @@ GAZETTEER = {"Apache License": "LICENSE", "Public License": "LICENSE", "MIT": "O
   kind AS type, s AS start, e AS "end", confidence::DOUBLE AS confidence FROM ents"""))
 def entities_gazetteer(spark: SparkSession, d: str) -> DataFrame:
     names = spark.createDataFrame(list(GAZETTEER.items()), "name string, type string")
-    found = SC.entities_with_gazetteer(kept(spark, d), "text", "doc_id", names)
+    comments = K.checkpoint(kept(spark, d))
+    found = SC.entities_with_gazetteer(comments, "text", "doc_id", names)
     return found.select("doc_id", F.inline("entities"))
 
 
 @query(O.with_(*O.comments(), O.TOPICS, O.PHRASES, body="""SELECT id AS doc_id, rank, phrase,
   round(score, 6) AS score FROM phrases"""))
 def keyphrases(spark: SparkSession, d: str) -> DataFrame:
-    return SC.keyphrases(kept(spark, d), "text", "doc_id").select(
+    return SC.keyphrases(K.checkpoint(kept(spark, d)), "text", "doc_id").select(
         "doc_id", F.col("rank").cast("long").alias("rank"), "phrase", rounded("score"))
 
 
@@ -315,7 +317,7 @@ def keyphrases(spark: SparkSession, d: str) -> DataFrame:
   count(phrase) AS n, max(CASE WHEN rank = 1 THEN phrase END) AS best,
   round(sum(score), 6) AS total FROM kept LEFT JOIN phrases USING (id) GROUP BY id"""))
 def keyphrase_records(spark: SparkSession, d: str) -> DataFrame:
-    rows = SC.with_keyphrases(kept(spark, d), "text", "doc_id")
+    rows = SC.with_keyphrases(K.checkpoint(kept(spark, d)), "text", "doc_id")
     total = F.aggregate(F.map_values("keyphrases.scores"), F.lit(0.0), lambda a, x: a + x)
     n = F.size("keyphrases.keyphrases")
     return rows.select("doc_id", n.cast("long").alias("n"),
@@ -466,7 +468,7 @@ def entity_contexts(spark: SparkSession, d: str) -> DataFrame:
 @query(O.with_(*O.comments(), O.TOPICS, O.PHRASES, O.PHRASE_TOP,
                body="SELECT rank, phrase AS keyphrase, cnt FROM phrase_top"))
 def top_keyphrases(spark: SparkSession, d: str) -> DataFrame:
-    rows = SC.with_keyphrases(kept(spark, d), "text", "doc_id")
+    rows = SC.with_keyphrases(K.checkpoint(kept(spark, d)), "text", "doc_id")
     return U.top_keyphrases(rows, "doc_id").withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -591,33 +593,31 @@ def report_brief(spark: SparkSession, d: str) -> DataFrame:
 # --- H: report quality -----------------------------------------------------------------------------
 
 
-def _reports(spark: SparkSession, d: str) -> DataFrame:
-    """Markdown texts made from the assistant turns; their order within a chat is the attempt."""
-    turns = K.read_table(spark, d, "conversations").where(F.col("role") == "assistant")
-    before = F.row_number().over(Q.Window.partitionBy("conv_id").orderBy("turn"))
+def _clean_reports(turns: DataFrame) -> DataFrame:
+    """Markdown texts made from chat turns, cleaned."""
     md = F.concat(
         F.lit("  ```markdown\n# Conversation "), "conv_id", F.lit("\n## **Turn "), "turn",
         F.lit("**\n"), "text", F.lit("\n\n\n\n### Next __steps__\n"),
         F.when(F.length("text") > 400, "We recommend more.").otherwise("None."),
         F.lit("\n```\n"))
-    return turns.select("conv_id", "turn", before.cast("long").alias("attempt"), md.alias("md"))
+    return turns.withColumn("body", M.clean_markdown(md)).drop("text")
 
 
-def _clean_reports(spark: SparkSession, d: str) -> DataFrame:
-    return _reports(spark, d).select("conv_id", "turn", "attempt",
-                                     M.clean_markdown(F.col("md")).alias("body"))
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    turns = K.read_table(spark, d, "conversations").where(F.col("role") == "assistant")
+    return turns.select("conv_id", "turn", "text")
 
 
 @query(O.with_(O.REPORTS, O.CLEAN_MD, body="SELECT conv_id, turn, body FROM clean_md"))
 def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return _clean_reports(spark, d).select("conv_id", "turn", "body")
+    return _clean_reports(_answers(spark, d)).select("conv_id", "turn", "body")
 
 
 @query(O.with_(O.REPORTS, O.CLEAN_MD, body=r"""SELECT conv_id, turn, array_to_string(list_transform(
   regexp_extract_all(body, '(?m)^#{2,3}\s+(.+)$', 1), lambda x: replace(replace(trim(x), '**', ''),
   '__', '')), '|') AS headings FROM clean_md"""))
 def section_headings(spark: SparkSession, d: str) -> DataFrame:
-    return _clean_reports(spark, d).select(
+    return _clean_reports(_answers(spark, d)).select(
         "conv_id", "turn", F.array_join(M.section_headings(F.col("body")), "|").alias("headings"))
 
 
@@ -628,7 +628,7 @@ def word_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graded(spark: SparkSession, d: str) -> DataFrame:
-    return Q.evaluate_text(_clean_reports(spark, d), "body", min_score=72.0)
+    return Q.evaluate_text(_clean_reports(_answers(spark, d)), "body", min_score=72.0)
 
 
 @query(O.with_(O.REPORTS, O.CLEAN_MD, O.HEURISTIC, body="""SELECT conv_id, turn,
@@ -665,7 +665,7 @@ def parsed_evaluation(spark: SparkSession, d: str) -> DataFrame:
         '```json\n{"overall_score": %d, "should_regenerate": false, "checks": {"coherence": '
         '{"score": 50, "critical": %s}}, "issues": []}\n```',
         n % 100, (X.word_count(F.col("body")) > 150).cast("string"))).otherwise("invalid json {")
-    rows = Q.evaluate_text(_clean_reports(spark, d).withColumn("answer", answer), "body",
+    rows = Q.evaluate_text(_clean_reports(_answers(spark, d)).withColumn("answer", answer), "body",
                            answer_col="answer")
     return rows.select("conv_id", "turn",
                        F.round("evaluation.overall_score", 6).alias("overall"),
@@ -673,8 +673,10 @@ def parsed_evaluation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chosen(spark: SparkSession, d: str) -> DataFrame:
-    log = _graded(spark, d).select(
-        "conv_id", "attempt", F.col("evaluation.overall_score").alias("quality_score"),
+    """The first answers of each chat as attempts at one report; later ones are cut early."""
+    attempts = top_k(_answers(spark, d), 3, [F.col("turn")], ["conv_id"], "attempt")
+    log = Q.evaluate_text(_clean_reports(attempts), "body", min_score=72.0).select(
+        "conv_id", F.col("attempt").cast("long").alias("attempt"), F.col("evaluation.overall_score").alias("quality_score"),
         F.col("evaluation.should_regenerate").alias("should_regenerate"),
         (X.word_count(F.col("body")) / 1000).alias("writer_cost"), F.lit(0.25).alias("eval_cost"))
     return Q.select_attempt(log, "conv_id", cost_cols=["writer_cost", "eval_cost"], plan_cost=0.5)
