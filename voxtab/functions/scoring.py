@@ -51,22 +51,22 @@ def _count(hits: Column, vocabulary: Sequence[str]) -> Column:
     return F.size(F.filter(hits, lambda w: w.isin(*vocabulary))).cast("double")
 
 
-def sentiment(
-    text: Column,
+def sentiment_of_hits(
+    hits: Column,
     positive: Sequence[str] = POSITIVE_WORDS,
     negative: Sequence[str] = NEGATIVE_WORDS,
 ) -> Column:
-    """struct(label, score, scores) from lexicon hits; no hit gives neutral."""
+    """struct(label, score, scores) of the lexicon words of a text; none gives neutral."""
 
     def body(h: Column) -> Column:
         net = _count(h, positive) - _count(h, negative)
         logits = F.array(net * -HIT_LOGIT, F.lit(NEUTRAL_LOGIT), net * HIT_LOGIT)
         return _labelled("label", "score", SENTIMENTS, logits)
 
-    return let(_hits(text, [*positive, *negative]), body).cast(SENTIMENT)
+    return let(hits, body).cast(SENTIMENT)
 
 
-def emotion(text: Column, lexicon: dict[str, Sequence[str]] = EMOTION_WORDS) -> Column:
+def emotion_of_hits(hits: Column, lexicon: dict[str, Sequence[str]] = EMOTION_WORDS) -> Column:
     """struct(emotion, confidence, scores) over the seven classes."""
 
     def body(h: Column) -> Column:
@@ -76,8 +76,26 @@ def emotion(text: Column, lexicon: dict[str, Sequence[str]] = EMOTION_WORDS) ->
         ])
         return _labelled("emotion", "confidence", EMOTIONS, logits)
 
+    return let(hits, body).cast(EMOTION)
+
+
+FROM_HITS = {"sentiment": sentiment_of_hits, "emotion": emotion_of_hits}
+
+
+def lexicon_hits(text: Column) -> Column:
+    """Words of the text that the default lexicons know: one pass serves both scorers."""
+    emotional = {w for ws in EMOTION_WORDS.values() for w in ws}
+    return _hits(text, sorted({*POSITIVE_WORDS, *NEGATIVE_WORDS, *emotional}))
+
+
+def sentiment(text: Column, positive: Sequence[str] = POSITIVE_WORDS,
+              negative: Sequence[str] = NEGATIVE_WORDS) -> Column:
+    return sentiment_of_hits(_hits(text, [*positive, *negative]), positive, negative)
+
+
+def emotion(text: Column, lexicon: dict[str, Sequence[str]] = EMOTION_WORDS) -> Column:
     every = sorted({w for ws in lexicon.values() for w in ws})
-    return let(_hits(text, every), body).cast(EMOTION)
+    return emotion_of_hits(_hits(text, every), lexicon)
 
 
 def topic_tokens(text: Column) -> Column:

@@ -15,7 +15,7 @@ from voxtab.functions.text import text_key
 from voxtab.functions.values import compute_once, let
 from voxtab.operators.skew import split_join, top_k
 from voxtab.schemas import SPANS
-from voxtab.sources.catalog import checkpoint
+from voxtab.sources.catalog import checkpoint, written
 
 SCORERS: dict[str, Callable[[Column], Column]] = {
     "sentiment": S.sentiment,
@@ -32,11 +32,19 @@ GAZETTEER_BROADCAST_ROWS = 100_000
 
 def score(df: DataFrame, text_col: str, scorers: Sequence[str] = tuple(SCORERS)) -> DataFrame:
     """Adds one struct column per scorer; optional scorers left out give their defaults."""
-    added = {name: compute_once(SCORERS[name](F.col(text_col))) for name in scorers}
+    text = F.col(text_col)
+    added = {}
+    for name in scorers:
+        if name in S.FROM_HITS:
+            added[name] = compute_once(S.FROM_HITS[name](F.col("_hits")))
+        else:
+            added[name] = compute_once(SCORERS[name](text))
+    if any(name in S.FROM_HITS for name in scorers):
+        df = df.withColumn("_hits", compute_once(S.lexicon_hits(text)))
     for name, default in DEFAULTS.items():
         if name not in scorers and name not in df.columns:
             added[name] = default()
-    return df.withColumns(added)
+    return df.withColumns(added).drop("_hits")
 
 
 def apply_scorer(df: DataFrame, text_col: str, load: Callable[[], Callable[[list[str]], list]],
@@ -66,12 +74,12 @@ def score_distinct(df: DataFrame, text_col: str,
     """Score each distinct text once and hand the result to all its copies.
 
     ``scorer`` takes a frame with ``text_col`` and adds columns to it. Its result is
-    checkpointed, so that a costly model does not run again for the joins.
+    written down, so that a costly model does not run again for the joins.
     """
     keyed = df.withColumn("_key", compute_once(text_key(F.coalesce(text_col, F.lit("")))))
     distinct = keyed.groupBy("_key").agg(
         F.first(text_col, ignorenulls=True).alias(text_col), F.count("*").alias("_copies"))
-    scored = checkpoint(scorer(distinct).drop(text_col))
+    scored = written(scorer(distinct).drop(text_col))
     return split_join(keyed, scored, ["_key"], "_copies").drop("_key", "_copies")
 
 

@@ -301,7 +301,7 @@ GAZETTEER = {"Apache License": "LICENSE", "Public License": "LICENSE", "MIT": "O
   kind AS type, s AS start, e AS "end", confidence::DOUBLE AS confidence FROM ents"""))
 def entities_gazetteer(spark: SparkSession, d: str) -> DataFrame:
     names = spark.createDataFrame(list(GAZETTEER.items()), "name string, type string")
-    comments = K.checkpoint(kept(spark, d))
+    comments = K.written(kept(spark, d))
     found = SC.entities_with_gazetteer(comments, "text", "doc_id", names)
     return found.select("doc_id", F.inline("entities"))
 
@@ -309,7 +309,7 @@ def entities_gazetteer(spark: SparkSession, d: str) -> DataFrame:
 @query(O.with_(*O.comments(), O.TOPICS, O.PHRASES, body="""SELECT id AS doc_id, rank, phrase,
   round(score, 6) AS score FROM phrases"""))
 def keyphrases(spark: SparkSession, d: str) -> DataFrame:
-    return SC.keyphrases(K.checkpoint(kept(spark, d)), "text", "doc_id").select(
+    return SC.keyphrases(K.written(kept(spark, d)), "text", "doc_id").select(
         "doc_id", F.col("rank").cast("long").alias("rank"), "phrase", rounded("score"))
 
 
@@ -317,7 +317,7 @@ def keyphrases(spark: SparkSession, d: str) -> DataFrame:
   count(phrase) AS n, max(CASE WHEN rank = 1 THEN phrase END) AS best,
   round(sum(score), 6) AS total FROM kept LEFT JOIN phrases USING (id) GROUP BY id"""))
 def keyphrase_records(spark: SparkSession, d: str) -> DataFrame:
-    rows = SC.with_keyphrases(K.checkpoint(kept(spark, d)), "text", "doc_id")
+    rows = SC.with_keyphrases(K.written(kept(spark, d)), "text", "doc_id")
     total = F.aggregate(F.map_values("keyphrases.scores"), F.lit(0.0), lambda a, x: a + x)
     n = F.size("keyphrases.keyphrases")
     return rows.select("doc_id", n.cast("long").alias("n"),
@@ -468,7 +468,7 @@ def entity_contexts(spark: SparkSession, d: str) -> DataFrame:
 @query(O.with_(*O.comments(), O.TOPICS, O.PHRASES, O.PHRASE_TOP,
                body="SELECT rank, phrase AS keyphrase, cnt FROM phrase_top"))
 def top_keyphrases(spark: SparkSession, d: str) -> DataFrame:
-    rows = SC.with_keyphrases(K.checkpoint(kept(spark, d)), "text", "doc_id")
+    rows = SC.with_keyphrases(K.written(kept(spark, d)), "text", "doc_id")
     return U.top_keyphrases(rows, "doc_id").withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -486,8 +486,8 @@ def mean_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _gate(spark: SparkSession, d: str) -> DataFrame:
-    comments = K.checkpoint(kept(spark, d))
-    s = K.checkpoint(SC.score(comments, "text").select(
+    comments = K.written(kept(spark, d))
+    s = K.written(SC.score(comments, "text").select(
         "doc_id", F.substring("text", 1, 100).alias("text"), "sentiment", "emotion", "topics",
         "entities"))
     return G.gate_inputs(comments, s, U.topic_summary(s, "text", "doc_id", samples=0),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +40,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: cuts the lineage, survives lost executors."""
+    """Reliable checkpoint that keeps the partitions as they are; for narrow tables."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows read back from a table in the shared folder.
+
+    Cuts the lineage and survives lost executors; readers get only the columns
+    they use. The folder is scratch space and is the caller's to empty.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def preview(df: DataFrame, order_col: str, n: int = 5) -> DataFrame:
     """First rows, with NaN and infinities as NULL."""
     cells = [
