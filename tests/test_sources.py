@@ -130,15 +130,15 @@ def test_stream_dedup_and_windows(spark, tmp_path):
 
 
 def test_pipeline_with_groups_and_gazetteer(spark):
-    rows = [(i, "ab"[i % 2], f"{'great' if i % 3 else 'terrible'} camera from Acme Corp, unit {i}")
+    rows = [(i, ["a", None][i % 2], f"{'great' if i % 3 else 'terrible'} camera from Acme Corp, unit {i}")
             for i in range(40)]
     df = spark.createDataFrame(rows, "id long, g string, text string")
     names = spark.createDataFrame([("Acme Corp", "ORG")], "name string, type string")
     a = analyse(df, "text", "id", ["g"], "marketing", names)
     assert {(r.g, r.text, r.type, r.cnt) for r in a.entities.collect()} == {
-        ("a", "Acme Corp", "ORG", 20), ("b", "Acme Corp", "ORG", 20)}
+        ("a", "Acme Corp", "ORG", 20), (None, "Acme Corp", "ORG", 20)}
     assert a.verdict.count() == 2 and a.checks.count() == 10
     briefs = {r.g: r.brief for r in a.brief.collect()}
     assert "- Acme Corp (ORG): 20 mentions (" in briefs["a"]
-    assert "MARKETING REPORT:" in briefs["b"] and "## Important Keyphrases\n" in briefs["b"]
+    assert "MARKETING REPORT:" in briefs[None] and "## Important Keyphrases\n" in briefs[None]
     assert all(r.num_keyphrases > 0 for r in a.metadata.collect())

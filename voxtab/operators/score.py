@@ -49,24 +49,35 @@ def score(df: DataFrame, text_col: str, scorers: Sequence[str] = tuple(SCORERS))
 
 def apply_scorer(df: DataFrame, text_col: str, load: Callable[[], Callable[[list[str]], list]],
                  out: str, schema: T.DataType, batch_size: int = 32) -> DataFrame:
-    """Run a user model over all texts in batches.
+    """Run a user model over all texts in batches; only the texts go to Python.
 
     ``load`` is called once per Python task and returns ``list[str] -> list`` of
-    values of ``schema``; an exception in it fails the job.
+    values of ``schema`` (dicts for a struct); an exception in it fails the job.
+    Declared non-deterministic so that no optimisation runs the model twice.
     """
     if not 1 <= batch_size <= 128:
         raise ValueError("batch_size must be between 1 and 128")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def results(texts: pd.Series, model: Callable[[list[str]], list]) -> list:
+        every, out = texts.tolist(), []
+        for at in range(0, len(every), batch_size):
+            out.extend(model(every[at:at + batch_size]))
+        return out
+
+    def structs(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for texts in batches:
+            yield pd.DataFrame(results(texts, model), columns=names)
+
+    def scalars(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
-        for pdf in batches:
-            texts = pdf[text_col].tolist()
-            results: list = []
-            for at in range(0, len(texts), batch_size):
-                results.extend(model(texts[at:at + batch_size]))
-            yield pdf.assign(**{out: results})
-
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, schema)]))
+        for texts in batches:
+            yield pd.Series(results(texts, model))
+
+    is_struct = isinstance(schema, T.StructType)
+    names = schema.fieldNames() if is_struct else []
+    run = F.pandas_udf(structs if is_struct else scalars, schema).asNondeterministic()
+    return df.withColumn(out, run(text_col))
 
 
 def score_distinct(df: DataFrame, text_col: str,

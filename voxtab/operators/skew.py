@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 HEAVY_KEYS = 1000
 
 
+def group_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
+               how: str = "left") -> DataFrame:
+    """Join on group columns of which any may be NULL; a NULL group meets itself."""
+    renamed = right.withColumnsRenamed({k: f"_{i}_{k}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{i}_{k}"))
+    return left.join(renamed, same, how).drop(*[f"_{i}_{k}" for i, k in enumerate(keys)])
+
+
 def split_join(big: DataFrame, dim: DataFrame, keys: Sequence[str], weight: str,
                parts: int = HEAVY_KEYS) -> DataFrame:
     """Inner join to a table with unique keys that knows each key's number of big rows.

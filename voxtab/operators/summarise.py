@@ -23,7 +23,7 @@ from voxtab.constants import (
     TOPICS_USED,
 )
 from voxtab.functions.scoring import sentiment_value
-from voxtab.operators.skew import first_per_key, top_k
+from voxtab.operators.skew import first_per_key, group_join, top_k
 
 
 
@@ -94,7 +94,8 @@ def _with_samples(ranked: DataFrame, mentions: DataFrame, keys: Sequence[str], n
     """
     on = [*group_cols, *keys]
     winners = ranked.withColumnRenamed("order_key", "_first")
-    pool = mentions.drop("value").join(winners if group_cols else F.broadcast(winners), on)
+    pool = group_join(mentions.drop("value"), winners if group_cols else F.broadcast(winners), on,
+                      "inner")
     carry = [c for c in winners.columns if c not in on]
     return first_per_key(pool, on, [F.col("order_key")], n, F.col("sample"), out, carry)
 

@@ -26,6 +26,7 @@ from voxtab.operators.skew import top_k
 from voxtab.plans import oracle as O
 from voxtab.plans.pipeline import analyse
 from voxtab.sources import catalog as K
+from voxtab.sources import csv as V
 from voxtab.streaming import streams as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +106,15 @@ def upload_catalog(spark: SparkSession, d: str) -> DataFrame:
     return K.load_upload(spark, folder, "fr")
 
 
+@query("""SELECT doc_id::VARCHAR AS doc_id, lang, text FROM documents""")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as CSV files, with line breaks inside quotes, read back."""
+    folder = f"{K.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    table = docs(spark, d).select("doc_id", "lang", "text")
+    table.write.options(sep=";", header=True, escape='"', quoteAll=True).csv(folder)
+    return V.read_feedback_csv(spark, folder).drop("row_id")
+
+
 # --- B: text column ---------------------------------------------------------------------------
 
 
@@ -584,6 +594,49 @@ def reading_bands(spark: SparkSession, d: str) -> DataFrame:
                          R.sample_size_band(F.col("n")).alias("sample_size"))
 
 
+@query(O.with_(*TOPIC_SQL, O.topic_summary(by_group=True), body="""SELECT g AS source,
+  string_agg(format('- {}: {} mentions ({} sentiment: {:.2f})', topic, cnt, CASE
+  WHEN avg_sentiment > 0.3 THEN 'positive' WHEN avg_sentiment < -0.3 THEN 'negative'
+  ELSE 'neutral' END, avg_sentiment::DOUBLE), chr(10) ORDER BY rank) AS lines
+  FROM topic_top WHERE rank <= 5 GROUP BY g"""))
+def report_topic_lines(spark: SparkSession, d: str) -> DataFrame:
+    s = SC.score(kept(spark, d, "source"), "text", ["sentiment", "topics"])
+    top = U.topic_summary(s, "text", "doc_id", samples=0, group_cols=["source"])
+    return R.lines(R.report_slice(top, 5), R.topic_line(), [F.col("rank")], ["source"])
+
+
+@query(O.with_(*SCORED_SQL, """counts AS (SELECT g, emotion, count(*) AS cnt, min(id) AS first
+  FROM scored GROUP BY 1, 2)""", """shares AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY g) * 100
+  AS pct FROM counts)""", body="""SELECT g AS source, string_agg(format('- {}: {} ({:.1f}%)',
+  emotion, cnt, pct), chr(10) ORDER BY cnt DESC, first) AS lines FROM shares GROUP BY g"""))
+def report_distribution_lines(spark: SparkSession, d: str) -> DataFrame:
+    s = SC.score(kept(spark, d, "source"), "text", ["emotion"])
+    dist = U.emotion_distribution(s, ["source"], "doc_id")
+    return R.lines(dist, R.distribution_line(), [-F.col("cnt"), F.col("first_id")], ["source"])
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN
+  'Turn ' || turn ELSE 'Product Sentiment Analysis Report' END AS title,
+  (CASE WHEN length(text) % 3 = 0 THEN 1 ELSE 4 END)::BIGINT AS estimated_sections,
+  CASE WHEN length(text) % 3 = 0 THEN '1. Only (priority: low)' ELSE '1. Executive Summary '
+  || '(priority: high)' || chr(10) || '2. Sentiment Analysis (priority: high)' || chr(10)
+  || '3. Key Topics (priority: medium)' || chr(10) || '4. Recommendations (priority: high)' END
+  AS sections FROM conversations""")
+def parsed_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Fenced JSON plans for some texts, broken or partial ones for the rest."""
+    n = F.length("text") % 3
+    plan = F.format_string(
+        '```json\n{"title": "Turn %d", "recommended_length": "1 page", "sections": [{"name": '
+        '"Only", "priority": "low", "key_points": [], "data_sources": [], "estimated_length": '
+        '"short"}]}\n```', "turn")
+    answer = F.when(n == 0, plan).when(n == 1, '{"title": "no sections"}').otherwise("no json {")
+    rows = chats(spark, d).select("conv_id", "turn", answer.alias("answer"),
+                                  F.lit("product").alias("report_type"))
+    return R.with_outline(rows, answer_col="answer").select(
+        "conv_id", "turn", "outline.title", "estimated_sections",
+        R.expected_section_lines(F.col("outline.sections")).alias("sections"))
+
+
 @query()
 def report_brief(spark: SparkSession, d: str) -> DataFrame:
     return analyse(K.read_table(spark, d, "documents"), "text", "doc_id", ["source"],
@@ -621,6 +674,14 @@ def section_headings(spark: SparkSession, d: str) -> DataFrame:
         "conv_id", "turn", F.array_join(M.section_headings(F.col("body")), "|").alias("headings"))
 
 
+@query("""SELECT conv_id, turn, CASE WHEN role = 'user' THEN trim(text, ' ' || chr(10))
+  ELSE text END AS body FROM conversations""")
+def strip_fences(spark: SparkSession, d: str) -> DataFrame:
+    fenced = F.concat(F.lit("```json\n"), "text", F.lit("\n```\n"))
+    answer = F.when(F.col("role") == "user", F.col("text")).otherwise(fenced)
+    return chats(spark, d).select("conv_id", "turn", M.strip_fence(answer).alias("body"))
+
+
 @query(r"""SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))
   AS n_words FROM documents""")
 def word_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -861,6 +922,23 @@ def period_comparison(spark: SparkSession, d: str) -> DataFrame:
         "period", "label", "cnt", rounded("share"), "cnt_change", rounded("share_change"))
 
 
+@query(O.with_(O.DOCS, O.CLEANED, O.JUDGED, "kept AS (SELECT id, g, t FROM judged WHERE r0 IS NULL)",
+               O.SCORED, O.TOPICS, body="""SELECT s.id AS doc_id, label, emotion,
+  topic AS primary_topic FROM scored s JOIN topics t ON t.id = s.id AND rn = 1"""))
+def stream_clean_and_score(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as a stream, run to its end into a table."""
+    folder = f"{K.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{d}/documents.parquet"
+    # As a pattern, the path may name one file or a folder of files.
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    stream = ST.clean_and_score(source.select("doc_id", "text"), "text").select(
+        "doc_id", "sentiment.label", "emotion.emotion", "topics.primary_topic")
+    run = (stream.writeStream.format("parquet").option("path", f"{folder}/out")
+           .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 # --- the whole analysis ---------------------------------------------------------------------------------
 
 
