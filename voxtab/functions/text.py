@@ -131,11 +131,6 @@ def token_estimate(c: Column) -> Column:
     return F.floor(F.length(c) / 4)
 
 
-def truncate_sample(c: Column, limit: int = 100) -> Column:
-    return F.when(F.length(c) > limit,
-                  F.concat(F.substring(c, 1, limit - 3), F.lit("..."))).otherwise(c)
-
-
 def py_strip(c: Column) -> Column:
     """Strip whitespace at both ends by Python's rules."""
     return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+\z", "")

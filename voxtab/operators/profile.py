@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,8 +17,6 @@ from voxtab.constants import (
     TEXT_COLUMN_KEYWORDS,
 )
 from voxtab.functions.markdown import strip_fence
-from voxtab.functions.text import truncate_sample
-from voxtab.functions.values import fixed
 from voxtab.operators.skew import top_k
 from voxtab.schemas import DECISION
 
@@ -27,34 +25,48 @@ WINDOW = 1000
 SHOWN = 3
 
 
-def printed(c: Column, kind: T.DataType) -> Column:
-    """A value as Python prints it, where Spark's own text form differs."""
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        plain = F.regexp_replace(c.cast("decimal(38,22)").cast("string"), r"(\.\d+?)0+$", "$1")
-        size = F.abs(c)
-        odd = ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3))
-        return F.when(odd, plain).otherwise(c.cast("string"))
-    if isinstance(kind, T.BooleanType):
-        return F.initcap(c.cast("string"))
-    return c.cast("string")
+# Expressions over many columns are written as SQL text: one call each to the JVM
+# instead of dozens.
 
 
-def _present(field: T.StructField) -> Column:
-    c = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        return c.isNotNull() & ~F.isnan(c)
-    return c.isNotNull()
+def _name(field: T.StructField) -> str:
+    return "`" + field.name.replace("`", "``") + "`"
+
+
+def _text(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def _is_double(field: T.StructField) -> bool:
+    return isinstance(field.dataType, (T.DoubleType, T.FloatType))
+
+
+def printed(c: str, field: T.StructField) -> str:
+    """A value as Python prints it, where Spark's own text form differs (SQL text)."""
+    if _is_double(field):
+        plain = (f"regexp_replace(cast(cast({c} AS decimal(38,22)) AS string), "
+                 r"'(\\.\\d+?)0+$', '$1')")
+        odd = (f"(abs({c}) >= 1e7 AND abs({c}) < 1e16) OR (abs({c}) >= 1e-4 AND abs({c}) < 1e-3)")
+        return f"CASE WHEN {odd} THEN {plain} ELSE cast({c} AS string) END"
+    if isinstance(field.dataType, T.BooleanType):
+        return f"initcap(cast({c} AS string))"
+    return f"cast({c} AS string)"
+
+
+def _present(field: T.StructField) -> str:
+    c = _name(field)
+    return f"({c} IS NOT NULL AND NOT isnan({c}))" if _is_double(field) else f"({c} IS NOT NULL)"
 
 
 def _from_head(head: DataFrame, order_col: str, fields: list[tuple[int, T.StructField]],
                sample: int) -> DataFrame:
     """First values of many columns from a head of a few hundred rows."""
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
-                 F.when(_present(f), printed(F.col(f"`{f.name}`"), f.dataType)).alias("value"))
-        for i, f in fields])
-    long = head.select(F.col(f"`{order_col}`").alias("_order"), F.inline(cells))
-    return top_k(long.where(F.col("value").isNotNull()), sample, [F.col("_order")],
+    cells = ", ".join(
+        f"struct({i} AS position, {_text(f.name)} AS column, "
+        f"CASE WHEN {_present(f)} THEN {printed(_name(f), f)} END AS value)" for i, f in fields)
+    long = head.select(F.col(f"`{order_col}`").alias("_order"), F.expr(f"inline(array({cells}))"))
+    return top_k(long.where("value IS NOT NULL"), sample, [F.col("_order")],
                  ["position", "column"]).select("position", "column", "_order", "value")
 
 
@@ -63,10 +75,10 @@ def _from_column(df: DataFrame, order_col: str, position: int, field: T.StructFi
     """First values of one column, read on its own and cut by a heap per partition."""
     return (
         df.where(_present(field))
-        .select(F.col(f"`{order_col}`").alias("_order"), F.col(f"`{field.name}`").alias("_c"))
+        .select(F.col(f"`{order_col}`").alias("_order"), F.col(_name(field)).alias("_c"))
         .orderBy("_order").limit(sample)
         .select(F.lit(position).alias("position"), F.lit(field.name).alias("column"), "_order",
-                printed(F.col("_c"), field.dataType).alias("value"))
+                F.expr(printed("_c", field)).alias("value"))
     )
 
 
@@ -89,7 +101,8 @@ def column_heads(df: DataFrame, order_col: str, sample: int = SAMPLE,
     head = df.where(order <= F.lit(end))
     if rows < window:
         return _from_head(head, order_col, fields, sample)
-    filled = head.agg(*[F.count_if(_present(f)) for _, f in fields]).first()
+    counts = ", ".join(f"count_if({_present(f)})" for _, f in fields)
+    filled = head.agg(F.expr(f"array({counts})")).first()[0]
     full = [x for x, n in zip(fields, filled) if n >= sample]
     parts = [_from_head(head, order_col, full, sample)] if full else []
     parts += [_from_column(df, order_col, i, f, sample)
@@ -97,71 +110,74 @@ def column_heads(df: DataFrame, order_col: str, sample: int = SAMPLE,
     return reduce(DataFrame.unionAll, parts)
 
 
-def _name_keyword(column: Column) -> Column:
-    low = F.lower(column)
-    return F.coalesce(*[F.when(F.contains(low, F.lit(k)), k) for k in TEXT_COLUMN_KEYWORDS])
+def _steps(value: str, steps: list, which: int, otherwise: str) -> str:
+    cases = " ".join(f"WHEN {value} > {step[0]} THEN {step[which]}" for step in steps)
+    return f"CASE {cases} ELSE {otherwise} END"
 
 
-def _stepped(value: Column, steps: list, which: int, text: Column | None = None) -> Column:
-    out = F.lit(0.0) if text is None else F.lit(None).cast("string")
-    for step in reversed(steps):
-        hit = F.lit(step[which]) if text is None else F.format_string(
-            step[which].replace("%.0f", "%s"), text)
-        out = F.when(value > step[0], hit).otherwise(out)
-    return out
+def _reasons(value: str, shown: str, steps: list) -> str:
+    texts = [(edge, score, f"format_string({_text(text)}, bround({shown}, 0))")
+             for edge, score, text in steps]
+    return _steps(value, texts, 2, "NULL")
 
 
 def column_confidence(df: DataFrame, order_col: str, hint: str | None = None,
                       sample: int = SAMPLE) -> DataFrame:
     """One row per column that has values or is hinted: scores, confidence, reason, samples."""
-    text = F.col("value")
-    dates = {f.name for f in df.schema.fields
-             if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))}
-    midnight = F.min(F.endswith(text, F.lit(" 00:00:00")))
-    is_date = F.col("column").isin(*dates) if dates else F.lit(False)
-    heads = column_heads(df, order_col, sample)
-    shown = F.slice(F.sort_array(F.collect_list(F.struct("_order", "value"))), 1, SHOWN)
-    stats = heads.groupBy("position", "column").agg(
-        F.count("*").alias("n"),
-        F.avg(F.length(text)).alias("_len"), F.avg(F.contains(text, F.lit(" ")).cast("double"))
-        .alias("_space"),
-        midnight.alias("_midnight"),
-        F.transform(shown, lambda s: truncate_sample(s["value"])).alias("sample_values"),
-    )
+    fields = df.schema.fields
+    days = [_text(f.name) for f in fields
+            if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
     # A column of whole days prints without its times.
-    whole_days = is_date & F.col("_midnight")
-    stats = stats.withColumn("mean_length", F.when(whole_days, 10.0).otherwise(F.col("_len")))
-    stats = stats.withColumn("space_share", F.when(whole_days, 0.0).otherwise(F.col("_space")))
-
+    whole_days = (f"column IN ({', '.join(days)}) AND min(endswith(value, ' 00:00:00'))"
+                  if days else "false")
+    stats = column_heads(df, order_col, sample).groupBy("position", "column").agg(
+        F.expr(f"CASE WHEN {whole_days} THEN 10.0D ELSE avg(length(value)) END")
+        .alias("mean_length"),
+        F.expr(f"CASE WHEN {whole_days} THEN 0.0D "
+               "ELSE avg(CASE WHEN contains(value, ' ') THEN 1.0D ELSE 0.0D END) END")
+        .alias("space_share"),
+        F.expr(f"slice(sort_array(collect_list(struct(_order, value))), 1, {SHOWN})")
+        .alias("_shown"),
+    )
     if hint is not None:
-        hinted = [(i, f.name) for i, f in enumerate(df.schema.fields)
-                  if f.name.lower() == hint.lower()]
+        hinted = [(i, f.name) for i, f in enumerate(fields) if f.name.lower() == hint.lower()]
         if hinted:
             named = df.sparkSession.createDataFrame(hinted, "position int, column string")
             stats = stats.join(F.broadcast(named), ["position", "column"], "full")
 
-    keyword = _name_keyword(F.col("column"))
-    share, length = F.col("space_share"), F.col("mean_length")
-    name_score = F.when(keyword.isNotNull(), NAME_SCORE).otherwise(0.0)
-    length_score = _stepped(length, LENGTH_STEPS, 1)
-    space_score = _stepped(share, SPACE_STEPS, 1)
-    reasons = F.concat_ws(
-        "; ",
-        F.when(keyword.isNotNull(), F.format_string("Column name contains '%s'", keyword)),
-        _stepped(length, LENGTH_STEPS, 2, fixed(length, 0)),
-        _stepped(share, SPACE_STEPS, 2, fixed(share * 100, 0)),
+    # Names are metadata: their keywords are looked up here.
+    found = [(f.name, next((k for k in TEXT_COLUMN_KEYWORDS if k in f.name.lower()), None))
+             for f in fields]
+    cases = " ".join(f"WHEN {_text(n)} THEN {_text(k)}" for n, k in found if k)
+    stats = stats.withColumn("_keyword", F.expr(
+        f"CASE column {cases} END" if cases else "cast(NULL AS string)"))
+    stats = stats.select(
+        "*",
+        F.expr(f"CASE WHEN _keyword IS NULL THEN 0.0D ELSE {NAME_SCORE}D END").alias("name_score"),
+        F.expr(f"cast({_steps('mean_length', LENGTH_STEPS, 1, '0')} AS double)")
+        .alias("length_score"),
+        F.expr(f"cast({_steps('space_share', SPACE_STEPS, 1, '0')} AS double)")
+        .alias("space_score"),
+        F.concat_ws(
+            "; ",
+            F.expr(
+                "CASE WHEN _keyword IS NOT NULL THEN "
+                "concat('Column name contains \\'', _keyword, '\\'') END"),
+            F.expr(_reasons("mean_length", "mean_length", LENGTH_STEPS)),
+            F.expr(_reasons("space_share", "space_share * 100", SPACE_STEPS)),
+        ).alias("_reasons"),
     )
-    score = F.least(name_score + length_score + space_score, F.lit(1.0))
-    reason = F.when(reasons == "", "Low confidence").otherwise(reasons)
-    if hint is not None:
-        is_hint = F.lower("column") == hint.lower()
-        score = F.when(is_hint, 1.0).otherwise(score)
-        reason = F.when(is_hint, "Exact match with user hint").otherwise(reason)
-    samples = F.coalesce("sample_values", F.array().cast("array<string>"))
+    is_hint = f"lower(column) = {_text((hint or '').lower())}" if hint is not None else "false"
     return stats.select(
-        "position", "column", "mean_length", "space_share", name_score.alias("name_score"),
-        length_score.alias("length_score"), space_score.alias("space_score"),
-        score.alias("confidence"), reason.alias("reason"), samples.alias("sample_values"))
+        "position", "column", "mean_length", "space_share", "name_score", "length_score",
+        "space_score",
+        F.expr(f"CASE WHEN {is_hint} THEN 1.0D ELSE "
+               "least(name_score + length_score + space_score, 1.0D) END").alias("confidence"),
+        F.expr(f"CASE WHEN {is_hint} THEN 'Exact match with user hint' "
+               "WHEN _reasons = '' THEN 'Low confidence' ELSE _reasons END").alias("reason"),
+        F.expr("transform(coalesce(_shown, array()), s -> CASE WHEN length(s.value) > 100 "
+               "THEN concat(substring(s.value, 1, 97), '...') ELSE s.value END)")
+        .alias("sample_values"))
 
 
 def text_column_candidates(df: DataFrame, order_col: str, hint: str | None = None,
