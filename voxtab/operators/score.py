@@ -28,6 +28,7 @@ DEFAULTS: dict[str, Callable[[], Column]] = {
     "keyphrases": S.no_keyphrases,
 }
 GAZETTEER_BROADCAST_ROWS = 100_000
+FIRST_WORDS = 1000
 
 
 def score(df: DataFrame, text_col: str, scorers: Sequence[str] = tuple(SCORERS)) -> DataFrame:
@@ -167,13 +168,21 @@ def with_keyphrases(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
 # --- gazetteer entities ----------------------------------------------------------------
 
 
-def _word_grams(text: Column, lengths: Sequence[int]) -> Column:
-    """Distinct runs of so many words (letters and digits), joined by one space."""
+def _word_grams(text: Column, lengths: Sequence[int], first_words: Sequence[str] = ()) -> Column:
+    """Distinct runs of so many words (letters and digits), joined by one space.
+
+    With ``first_words``, only runs that start with one of them.
+    """
     tokens = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
     def runs(t: Column, n: int) -> Column:
-        return F.transform(t, lambda _, i: F.when(
-            i + n <= F.size(t), F.array_join(F.slice(t, i + 1, n), " ")))
+        def at(word: Column, i: Column) -> Column:
+            fits = i + n <= F.size(t)
+            if first_words:
+                fits = fits & word.isin(*first_words)
+            return F.when(fits, F.array_join(F.slice(t, i + 1, n), " "))
+
+        return F.transform(t, at)
 
     def grams(t: Column) -> Column:
         every = F.concat(*[runs(t, n) for n in lengths])
@@ -220,7 +229,8 @@ def entities_with_gazetteer(df: DataFrame, text_col: str, id_col: str, gazetteer
 
     Word runs of each text are matched to the table by an equality join. The table
     is broadcast only after a check that it has few rows; beyond that the join is
-    left to the planner. Names are runs of at most ``longest`` words.
+    left to the planner. While the names begin with few different words, only runs
+    that begin so are looked up. Names are runs of at most ``longest`` words.
     """
     n_words = F.size(F.split("_gram", " "))
     names = (
@@ -228,13 +238,15 @@ def entities_with_gazetteer(df: DataFrame, text_col: str, id_col: str, gazetteer
         .where(n_words <= longest)
     )
     lengths = sorted(r[0] for r in names.select(n_words).distinct().collect())
+    firsts = names.select(F.split("_gram", " ")[0]).distinct().limit(FIRST_WORDS + 1).collect()
+    first_words = [r[0] for r in firsts] if len(firsts) <= FIRST_WORDS else []
     if names.limit(GAZETTEER_BROADCAST_ROWS + 1).count() <= GAZETTEER_BROADCAST_ROWS:
         names = F.broadcast(names)
     text = F.col(text_col)
     none = F.array().cast("array<struct<name:string,type:string>>")
     if lengths:
         grams = df.select(id_col, F.explode(
-            compute_once(_word_grams(text, lengths))).alias("_gram"))
+            compute_once(_word_grams(text, lengths, first_words))).alias("_gram"))
         found = F.collect_list(F.struct(F.col("_gram").alias("name"), "type"))
         hits = grams.join(names, "_gram").groupBy(id_col).agg(F.sort_array(found).alias("_names"))
         df = df.join(hits, id_col, "left")

@@ -830,13 +830,19 @@ def _worked():
     return F.col("event_type") != "error"
 
 
-@query("""SELECT user_id, count(*) AS total_calls, count(*) FILTER (event_type <> 'error')
+def _shown(value: str, digits: int) -> str:
+    """SQL for rounding on the exact binary value, ties to even."""
+    return f"format('{{:.{digits}f}}', {value})::DOUBLE"
+
+
+@query(f"""SELECT user_id, count(*) AS total_calls, count(*) FILTER (event_type <> 'error')
   AS successful_calls, count(*) FILTER (event_type = 'error') AS failed_calls,
-  round_even(count(*) FILTER (event_type <> 'error') / count(*) * 100, 2) AS success_rate,
-  round(sum(value), 2) AS total_time_seconds, round(avg(value), 3) AS average_time_seconds,
-  round(min(value), 3) AS min_time_seconds, round(max(value), 3) AS max_time_seconds,
-  arg_max(value, (ts, event_id)) AS last_execution_time, round(sum(value), 4) AS total_cost,
-  round(sum(value) / count(*), 6) AS average_cost FROM events GROUP BY user_id""")
+  {_shown("count(*) FILTER (event_type <> 'error') / count(*) * 100", 2)} AS success_rate,
+  {_shown('sum(value)', 2)} AS total_time_seconds,
+  {_shown('sum(value) / count(*)', 3)} AS average_time_seconds,
+  {_shown('min(value)', 3)} AS min_time_seconds, {_shown('max(value)', 3)} AS max_time_seconds,
+  arg_max(value, (ts, event_id)) AS last_execution_time, {_shown('sum(value)', 4)} AS total_cost,
+  {_shown('sum(value) / count(*)', 6)} AS average_cost FROM events GROUP BY user_id""")
 def call_metrics(spark: SparkSession, d: str) -> DataFrame:
     return A.call_metrics(_events(spark, d), "user_id", "value", _worked(), ["ts", "event_id"],
                           "value")
