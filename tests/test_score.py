@@ -1,6 +1,5 @@
 import math
 import random
-import re
 from collections import Counter
 
 import pytest

@@ -13,7 +13,6 @@ from voxtab.constants import EMOTIONS, PRICES, REMOVAL_REASONS, REPORT_TYPES
 from voxtab.functions import markdown as M
 from voxtab.functions import scoring as S
 from voxtab.functions import text as X
-from voxtab.functions.values import py_round
 from voxtab.operators import accounting as A
 from voxtab.operators import clean as C
 from voxtab.operators import gate as G
