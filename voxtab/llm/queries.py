@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from voxtab.llm.bpe import op7_byte_bpe
 from voxtab.llm.decontaminate import OP2_SQL, op2_decontaminate
 from voxtab.llm.simhash import op3_simhash
 
 QUERIES = {q.__name__: q for q in (
     op2_decontaminate,
     op3_simhash,
+    op7_byte_bpe,
 )}
 
 ORACLE = {
