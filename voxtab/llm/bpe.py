@@ -173,12 +173,12 @@ class Vocabulary:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def byte_ids(self, words: pa.Array) -> pa.Array:
-        """Of string words, the ids of their bytes."""
-        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
-        raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
-        return pa.ListArray.from_arrays(
-            pa.array(offsets - offsets[0]), pa.array(self.single[raw], pa.int32()))
+
+def byte_ids(words: pa.Array, single: np.ndarray) -> pa.Array:
+    """Of string words, the ids of their bytes."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    return pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), pa.array(single[raw], pa.int32()))
 
 
 def decoded(ids: Column, vocabulary: Vocabulary) -> Column:
@@ -205,9 +205,11 @@ def hot_words(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
             break
         least = r["class"]
 
+    single = vocabulary.single
+
     def start(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield out_batch(batch, ["word"], bytes=vocabulary.byte_ids(batch.column(0)))
+            yield out_batch(batch, ["word"], bytes=byte_ids(batch.column(0), single))
 
     hot = often.where(F.col("class") >= (least if least < math.inf else 1 << 30)).select("word")
     return hot.mapInArrow(start, "word string, bytes array<int>").select(
@@ -263,53 +265,51 @@ def _encode(df, vocabulary, id_col, text_col, hot, finish, out):
 
     The three steps run in one stage. Between them a row stands for a chunk of
     texts: the number of words of each text, the word numbers, and per distinct
-    word its place in the hot list or its bytes.
+    word its ids or its bytes.
     """
     table = hot_words(df, vocabulary, text_col, hot)
     known = df.sparkSession.sparkContext.broadcast(
-        (table.column("word").combine_chunks(), *_flat(table.column("ids"))))
+        (table.column("word").combine_chunks(), table.column("ids").combine_chunks()))
     cols = df.select(F.col(id_col).alias("id"), vocabulary.words(F.col(text_col)).alias("words"))
     kind = cols.schema["id"].dataType.simpleString()
-    ranks = vocabulary.ranks
+    ranks, single = vocabulary.ranks, vocabulary.single
 
     def look_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _word_chunks(batches):
             words = batch.column(1)
             coded = words.flatten().dictionary_encode()
             distinct = coded.dictionary
-            at = pc.fill_null(pc.index_in(distinct, value_set=known.value[0]), -1).to_numpy()
+            place = pc.index_in(distinct, value_set=known.value[0])
+            at = pc.fill_null(place, -1).to_numpy()
             size = pc.binary_length(distinct).to_numpy(zero_copy_only=False)
             # -1: folded in the next step, -2: merged here
-            at = np.where((at < 0) & (size > FOLD_BYTES), -2, at).astype(np.int32)
-            cold = vocabulary.byte_ids(distinct.filter(pa.array(at == -1)))
+            at = np.where(at >= 0, 0, np.where(size > FOLD_BYTES, -2, -1)).astype(np.int8)
+            hot = known.value[1].take(place.drop_null())
+            cold = byte_ids(distinct.filter(pa.array(at == -1)), single)
             long = [merged_by_heap(w.encode(), ranks)
                     for w in distinct.filter(pa.array(at == -2)).to_pylist()]
-            one = pa.array([0, 1], pa.int32())
             yield pa.RecordBatch.from_arrays([
                 pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch.column(0)),
                 pa.array([np.diff(words.offsets.to_numpy()).astype(np.int32).tobytes()], pa.binary()),
                 pa.array([coded.indices.to_numpy().astype(np.int32).tobytes()], pa.binary()),
                 pa.array([at.tobytes()], pa.binary()),
+                pa.ListArray.from_arrays(pa.array([0, len(hot)], pa.int32()), hot),
                 pa.ListArray.from_arrays(pa.array([0, len(cold)], pa.int32()), cold),
                 pa.array([long], pa.list_(pa.list_(pa.int32()))),
-            ], names=["id", "sizes", "codes", "at", "cold", "long"])
+            ], names=["id", "sizes", "codes", "at", "hot", "cold", "long"])
 
     def put_together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, hot_ids, hot_sizes = known.value
         for rows in batches:
             for i in range(len(rows)):
                 row = {n: rows.column(k)[i] for k, n in enumerate(rows.schema.names)}
-                sizes, codes, at = (np.frombuffer(row[n].as_py(), np.int32)
-                                    for n in ("sizes", "codes", "at"))
-                cold, cold_sizes = _flat(row["cold"].values)
-                long, long_sizes = _flat(row["long"].values)
-                values = np.concatenate([hot_ids, cold, long])
-                lengths = np.concatenate([hot_sizes, cold_sizes, long_sizes]).astype(np.int64)
+                sizes, codes = (np.frombuffer(row[n].as_py(), np.int32) for n in ("sizes", "codes"))
+                at = np.frombuffer(row["at"].as_py(), np.int8)
+                values, lengths = zip(*[_flat(row[n].values) for n in ("hot", "cold", "long")])
+                values, lengths = np.concatenate(values), np.concatenate(lengths).astype(np.int64)
                 begins = np.cumsum(lengths) - lengths
-                entry = at.astype(np.int64)
-                entry[at == -1] = len(hot_sizes) + np.arange(len(cold_sizes))
-                entry[at == -2] = len(hot_sizes) + len(cold_sizes) + np.arange(len(long_sizes))
-                entry = entry[codes] if len(codes) else np.zeros(0, np.int64)
+                entry = np.empty(len(at), np.int64)  # by kind, in the order of the kinds' lists
+                entry[np.argsort(-at, kind="stable")] = np.arange(len(at))
+                entry = entry[codes]
                 n = lengths[entry]
                 ends = np.cumsum(n)
                 tokens = values[np.arange(n.sum()) + np.repeat(begins[entry] - ends + n, n)]
@@ -320,7 +320,7 @@ def _encode(df, vocabulary, id_col, text_col, hot, finish, out):
                     [row["id"].values, *made.values()], names=["id", *made])
 
     chunks = cols.mapInArrow(look_up, f"id array<{kind}>, sizes binary, codes binary, at binary, "
-                                      "cold array<array<int>>, long array<array<int>>")
+                                      "hot array<array<int>>, cold array<array<int>>, long array<array<int>>")
     done = chunks.withColumn("cold", F.transform("cold", lambda w: folded(w, vocabulary.merges)))
     return done.mapInArrow(put_together, f"id {kind}, {out}")
 
