@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxtab.sources.catalog import read_table, written
 
-__all__ = ["ascii_lower", "chunks_of", "documents", "numbered", "raw_texts", "read_table", "written"]
+__all__ = ["read_table", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -18,6 +18,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CHUNK_BYTES = 4 << 20
 
 
+#: Lower case for A-Z; all of ASCII but letters and digits becomes a blank.
+WORD_BYTES = bytes(
+    c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Words of a UTF-8 text: runs of letters and digits of ASCII and of all other characters."""
+    return text.translate(WORD_BYTES).split()
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "documents")
 

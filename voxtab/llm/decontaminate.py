@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, repeat
 
@@ -11,29 +10,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtab.llm.common import chunks_of, documents, out_batch, read_table, written
+from voxtab.llm.common import (
+    WORD_BYTES, chunks_of, documents, out_batch, read_table, words_of, written)
 from voxtab.llm.fm_index import FMIndex
 
-WINDOW_WORDS = 10
+WINDOWWORD_BYTES = 10
 #: Bytes of documents in one shard, that is in one index. A longer document is its own shard.
 SHARD_BYTES = 8 << 20
 #: Bytes of benchmark texts searched for in one pass over the documents. A larger
 #: benchmark is searched in several passes.
 BLOCK_BYTES = 16 << 20
 
-#: Lower case for A-Z; all of ASCII but letters and digits becomes a blank.
-_WORDS = bytes(
-    c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_WORDS).split()
-
-
 class Windows:
     """The distinct windows of some items as rows of word numbers (2 and up)."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW_WORDS):
+    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOWWORD_BYTES):
         self.number: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], dict[int, None]] = {}
         self.names = [name for name, _ in items]
@@ -105,7 +96,7 @@ _FOUND = "n_words long, spans array<struct<begin:long,end:long>>, items array<st
 
 
 def occurrences(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
-                text_col: str = "text", window: int = WINDOW_WORDS,
+                text_col: str = "text", window: int = WINDOWWORD_BYTES,
                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``id``, ``n_words``, ``spans`` and ``items`` of every row of ``df``.
 
@@ -185,7 +176,7 @@ def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     if not text or not spans:
         return text
     raw = text.encode()
-    flat = np.frombuffer(raw.translate(_WORDS), np.uint8) != 32
+    flat = np.frombuffer(raw.translate(WORD_BYTES), np.uint8) != 32
     edge = np.diff(np.r_[False, flat, False].astype(np.int8))
     first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     out, at = [], 0

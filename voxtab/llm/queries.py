@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from voxtab.llm.bpe import op7_byte_bpe
 from voxtab.llm.decontaminate import OP2_SQL, op2_decontaminate
+from voxtab.llm.language import op1_language
+from voxtab.llm.licenses import op5_licenses
+from voxtab.llm.secrets import op6_secrets
 from voxtab.llm.simhash import op3_simhash
 
 QUERIES = {q.__name__: q for q in (
+    op1_language,
     op2_decontaminate,
     op3_simhash,
+    op5_licenses,
+    op6_secrets,
     op7_byte_bpe,
 )}
 
