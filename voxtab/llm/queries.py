@@ -9,11 +9,13 @@ from voxtab.llm.licenses import op5_licenses
 from voxtab.llm.secrets import op6_secrets
 from voxtab.llm.simhash import op3_simhash
 from voxtab.llm.suffix_dedup import op10_suffix_array
+from voxtab.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {q.__name__: q for q in (
     op1_language,
     op2_decontaminate,
     op3_simhash,
+    op4_warc,
     op5_licenses,
     op6_secrets,
     op7_byte_bpe,
@@ -22,4 +24,5 @@ QUERIES = {q.__name__: q for q in (
 
 ORACLE = {
     "op2_decontaminate": OP2_SQL,
+    "op4_warc": OP4_SQL,
 }
