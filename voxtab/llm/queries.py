@@ -8,6 +8,7 @@ from voxtab.llm.language import op1_language
 from voxtab.llm.licenses import op5_licenses
 from voxtab.llm.secrets import op6_secrets
 from voxtab.llm.simhash import op3_simhash
+from voxtab.llm.spotsigs import op9_spotsigs
 from voxtab.llm.suffix_dedup import op10_suffix_array
 from voxtab.llm.warc import OP4_SQL, op4_warc
 
@@ -19,6 +20,7 @@ QUERIES = {q.__name__: q for q in (
     op5_licenses,
     op6_secrets,
     op7_byte_bpe,
+    op9_spotsigs,
     op10_suffix_array,
 )}
 
