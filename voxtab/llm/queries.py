@@ -10,6 +10,7 @@ from voxtab.llm.secrets import op6_secrets
 from voxtab.llm.simhash import op3_simhash
 from voxtab.llm.spotsigs import op9_spotsigs
 from voxtab.llm.suffix_dedup import op10_suffix_array
+from voxtab.llm.toxicity import op8_toxicity
 from voxtab.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {q.__name__: q for q in (
@@ -20,6 +21,7 @@ QUERIES = {q.__name__: q for q in (
     op5_licenses,
     op6_secrets,
     op7_byte_bpe,
+    op8_toxicity,
     op9_spotsigs,
     op10_suffix_array,
 )}
