@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxtab.sources.catalog import read_table, written
 
@@ -45,6 +46,27 @@ def numbered(df: DataFrame, *cols: Column | str) -> DataFrame:
     return written(df.select(*cols, F.monotonically_increasing_id().alias("_row")))
 
 
+def as_column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, which an operator can carry as its id."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def schema_with(df: DataFrame, keep: Sequence[str], more: str) -> T.StructType:
+    """The kept fields of a frame and further ones given as DDL."""
+    return T.StructType([*[df.schema[k] for k in keep], *T.StructType.fromDDL(more).fields])
+
+
 def raw_texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()

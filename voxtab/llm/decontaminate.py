@@ -7,11 +7,11 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtab.llm.common import (
-    WORD_BYTES, chunks_of, documents, out_batch, read_table, words_of, written)
+    WORD_BYTES, as_column, chunks_of, documents, out_batch, read_table, schema_with, words_of, written)
 from voxtab.llm.fm_index import FMIndex
 
 WINDOWWORD_BYTES = 10
@@ -95,7 +95,7 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes]
 _FOUND = "n_words long, spans array<struct<begin:long,end:long>>, items array<string>"
 
 
-def occurrences(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
+def occurrences(df: DataFrame, benchmark: DataFrame, id_col: Column | str = "doc_id",
                 text_col: str = "text", window: int = WINDOWWORD_BYTES,
                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``id``, ``n_words``, ``spans`` and ``items`` of every row of ``df``.
@@ -108,13 +108,12 @@ def occurrences(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     words. Items without id or text are left out; items that repeat count once.
     Ids of ``df`` may be NULL or repeated. An empty table gives an empty one.
     """
-    cols = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    cols = df.select(as_column(id_col).alias("id"), F.col(text_col).alias("text"))
     blocks = [Windows(b, window) for b in _blocks(benchmark, block_bytes)] or [Windows([], window)]
     if len(blocks) > 1:
         cols = written(cols.withColumn("_row", F.monotonically_increasing_id()))
     keep = [c for c in cols.columns if c != "text"]
-    kinds = ", ".join(f"{c} {cols.schema[c].dataType.simpleString()}" for c in keep)
-    found = [cols.mapInArrow(_searcher(w, keep), f"{kinds}, {_FOUND}") for w in blocks]
+    found = [cols.mapInArrow(_searcher(w, keep), schema_with(cols, keep, _FOUND)) for w in blocks]
     if len(blocks) == 1:
         return found[0]
     both = found[0]

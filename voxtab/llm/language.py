@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtab.llm.common import chunks_of, documents, out_batch
+from voxtab.llm.common import as_column, chunks_of, documents, out_batch, schema_with
 from voxtab.operators.skew import top_k
 
 NGRAM_SIZES = (1, 2, 3)
@@ -54,7 +54,8 @@ def ranked_ngrams(text: bytes, sizes: tuple[int, ...] = NGRAM_SIZES,
     if not letters.any():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     gap = letters == 0
-    letters = np.concatenate([[0], letters[~(gap & np.r_[False, gap[:-1]])], [0]]).astype(np.uint64)
+    letters = np.r_[letters[~(gap & np.r_[True, gap[:-1]])], np.uint64(0)]
+    letters = np.r_[np.uint64(0), letters[:-1] if letters[-2] == 0 else letters]
     letters[letters == 0] = 32
     grams, counts = [], []
     for start in range(0, len(letters), SPAN):
@@ -150,14 +151,14 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Profiles({k: np.array(v, np.int64).view(np.uint64) for k, v in ranked.items()}, keep)
 
 
-def identify(df: DataFrame, profiles: Profiles, id_col: str = "doc_id",
+def identify(df: DataFrame, profiles: Profiles, id_col: Column | str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """``id``, ``lang_pred``, ``score`` and ``likeness`` of every row, from its text alone.
 
     NULL, empty and letterless texts are ``und`` with score 0. Ids may be NULL or
     repeated; an empty table gives an empty one.
     """
-    cols = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    cols = df.select(as_column(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks_of(batches, "text"):
@@ -165,8 +166,8 @@ def identify(df: DataFrame, profiles: Profiles, id_col: str = "doc_id",
             yield out_batch(batch, ["id"], lang_pred=pa.array(lang, pa.string()),
                             score=pa.array(score, pa.float64()), likeness=pa.array(like, pa.float64()))
 
-    kind = cols.schema["id"].dataType.simpleString()
-    return cols.mapInArrow(run, f"id {kind}, lang_pred string, score double, likeness double")
+    return cols.mapInArrow(run, schema_with(
+        cols, ["id"], "lang_pred string, score double, likeness double"))
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:

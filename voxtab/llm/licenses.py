@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtab.llm.common import chunks_of, documents, out_batch, words_of
+from voxtab.llm.common import chunks_of, documents, out_batch, schema_with, words_of
 from voxtab.llm.license_texts import BASE_PHRASES, NOTICES
 
 #: Words of each template that the index holds: those of the highest IDF.
@@ -153,7 +153,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield out_batch(batch, ["id"], **{
                 name: pa.array(values, kind) for (name, kind), values in zip(kinds, found)})
 
-    return cols.mapInArrow(run, f"id {cols.schema['id'].dataType.simpleString()}, {_SUMMARY}")
+    return cols.mapInArrow(run, schema_with(cols, ["id"], _SUMMARY))
 
 
 def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:

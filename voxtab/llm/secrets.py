@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxtab.llm.common import documents, numbered, written
+from voxtab.llm.common import documents, free_name, numbered, written
 
 #: Code points between the starts of parts that can belong together.
 SCOPE = 300
@@ -135,25 +135,28 @@ def secrets_summary(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def redacted(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns with every span of a text replaced by a mark; overlapping spans are one."""
-    kept = written(df.withColumn("_row", F.monotonically_increasing_id()))
-    ids, spans = find_secrets(kept, "_row", text_col)
-    before = Window.partitionBy("_row").orderBy("start", "end").rowsBetween(
-        Window.unboundedPreceding, -1)
-    along = Window.partitionBy("_row").orderBy("start", "end").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    fresh = (F.coalesce(F.max("end").over(before), F.lit(-1)) < F.col("start")).cast("int")
-    whole = spans.withColumn("fresh", fresh).withColumn("group", F.sum("fresh").over(along)).groupBy(
+    row, cut = free_name(df, "_row"), free_name(df, "_spans")
+    kept = written(df.withColumn(row, F.monotonically_increasing_id()))
+    ids, spans = find_secrets(kept, row, text_col)
+    along = Window.partitionBy("_row").orderBy("start", "end")
+    before = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = (F.coalesce(before, F.lit(-1)) < F.col("start")).cast("int")
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = spans.withColumn("fresh", fresh).withColumn("group", F.sum("fresh").over(upto)).groupBy(
         "_row", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    lists = whole.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
-    lists = ids.join(lists, "_row").select(F.col("id").alias("_row"), "s")
-    text = F.col(text_col)
-    stops = F.transform(F.col("s"), lambda s, i: F.substring(
-        text, F.coalesce(F.get(F.col("s"), i - 1)["end"], F.lit(0)).cast("int") + 1,
-        (s["start"] - F.coalesce(F.get(F.col("s"), i - 1)["end"], F.lit(0))).cast("int")))
-    tail = F.substring(text, F.element_at("s", -1)["end"].cast("int") + 1, F.length(text))
-    done = F.concat(F.array_join(F.concat(stops, F.array(F.lit(""))), mark), tail)
-    joined = kept.join(lists, "_row", "left")
-    return joined.withColumn(text_col, F.when(F.col("s").isNull(), text).otherwise(done)).select(*df.columns)
+    lists = whole.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut))
+    lists = ids.join(lists, "_row").select(F.col("id").alias(row), cut)
+    text, spots = F.col(text_col), F.col(cut)
+
+    def gap(s: Column, i: Column) -> Column:
+        last = F.coalesce(F.get(spots, i - 1)["end"], F.lit(0)).cast("int")
+        return F.substring(text, last + 1, s["start"].cast("int") - last)
+
+    tail = F.substring(text, F.element_at(spots, -1)["end"].cast("int") + 1, F.length(text))
+    done = F.concat(F.array_join(F.concat(F.transform(spots, gap), F.array(F.lit(""))), mark), tail)
+    changed = kept.join(lists, row, "left").withColumn(
+        text_col, F.when(spots.isNull(), text).otherwise(done))
+    return changed.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:

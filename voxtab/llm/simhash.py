@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtab.llm.common import chunks_of, documents, out_batch, written
+from voxtab.llm.common import chunks_of, documents, out_batch, schema_with, written
 from voxtab.llm.components import components
 from voxtab.operators.skew import split_join
 
@@ -58,7 +58,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             fp = np.array([simhash(t) for t in texts], np.uint64).view(np.int64)
             yield out_batch(batch, ["id"], fp=fp)
 
-    return cols.mapInArrow(run, f"id {cols.schema['id'].dataType.simpleString()}, fp long")
+    return cols.mapInArrow(run, schema_with(cols, ["id"], "fp long"))
 
 
 def _masks(blocks: int, distance: int) -> list[int]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtab.llm.common import chunks_of, documents, numbered, out_batch, written
+from voxtab.llm.common import chunks_of, documents, numbered, out_batch, schema_with, written
 
 WIN = 200
 LEAD = 32
@@ -311,8 +311,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                             n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(runs, pa.int64()),
                             kept=pa.array(kept, pa.binary()))
 
-    kind = texts.schema["id"].dataType.simpleString()
-    return both.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return both.mapInArrow(run, schema_with(
+        both, ["id"], "n_bytes long, n_removed long, n_spans long, kept binary"))
 
 
 def op10_suffix_array(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtab.llm.common import chunks_of, documents, out_batch, read_table
+from voxtab.llm.common import chunks_of, documents, out_batch, read_table, schema_with
 from voxtab.llm.gru import Gru
 from voxtab.llm.language import held_out
 from voxtab.operators.skew import top_k
@@ -58,8 +58,7 @@ def score_texts(df: DataFrame, model: Gru, id_col: str = "doc_id", text_col: str
             score = model.scores(texts)
             yield out_batch(batch, ["id"], score=score, predicted=(score >= 0.5).astype(np.int32))
 
-    kind = cols.schema["id"].dataType.simpleString()
-    return cols.mapInArrow(run, f"id {kind}, score double, predicted int")
+    return cols.mapInArrow(run, schema_with(cols, ["id"], "score double, predicted int"))
 
 
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
