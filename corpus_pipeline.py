@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtab.llm import bpe, decontaminate, language, secrets, simhash
-from voxtab.llm.common import read_table, written
+from voxtab.llm.common import free_name, read_table, whole_row, written
 from voxtab.sources.catalog import shared_folder
 
 #: Likeness to the nearest language profile below which a text is in none of the languages.
@@ -19,40 +19,42 @@ LEAST_LIKENESS = 0.15
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter and those that are like no language; ``lang`` stays as it was.
 
-    Profiles are learned from the labelled documents of the stage's input.
+    Profiles are learned from the labelled documents of the stage's input. Without
+    any, every text with a letter stays.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    profiles = language.learn(rows, "_row")
-    found = language.identify(rows, profiles, "_row").where(
-        (F.col("lang_pred") != language.UNKNOWN) & (F.col("likeness") >= LEAST_LIKENESS))
-    return rows.join(found.select(F.col("id").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    profiles = language.learn(docs)
+    if not profiles.names:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language.identify(docs, profiles, whole_row(docs))
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (
+        F.col("likeness") >= LEAST_LIKENESS)).select("id.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group: that with the smallest doc_id (NULL last), then the first row."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = simhash.near_duplicates(rows, "_row")
-    ids = rows.select(F.col("_row").alias("id"), "doc_id").join(groups, "id")
+    row = free_name(docs, "_row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = simhash.near_duplicates(rows, row)
+    ids = rows.select(F.col(row).alias("id"), "doc_id").join(groups, "id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "id"))
-    kept = ids.groupBy("component").agg(first.alias("first")).select(F.col("first.id").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = ids.groupBy("component").agg(first.alias("first")).select(F.col("first.id").alias(row))
+    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = decontaminate.summary(decontaminate.occurrences(
-        rows, read_table(spark, sf_dir, "benchmark"), "_row"))
-    clean = found.where(~F.col("contaminated")).select(F.col("id").alias("_row"))
-    return rows.join(clean, "_row", "left_semi").select(*docs.columns)
+    found = decontaminate.occurrences(
+        docs, read_table(spark, sf_dir, "benchmark"), whole_row(docs))
+    return found.where(F.size("spans") == 0).select("id.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets by a mark and count characters anew where that changed a text."""
-    done = secrets.redacted(docs.withColumn("_hash", F.xxhash64("text")))
-    same = F.xxhash64("text") == F.col("_hash")
-    return done.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(
-        F.length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
+    before = free_name(docs, "_before")
+    done = secrets.redacted(docs.withColumn(before, F.xxhash64("text")))
+    count = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return done.withColumn("n_chars", F.when(F.xxhash64("text") == F.col(before), F.col("n_chars"))
+                           .otherwise(count)).drop(before)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
