@@ -17,6 +17,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.files.minPartitionNum", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

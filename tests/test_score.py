@@ -114,7 +114,7 @@ def test_keyphrases_equal_brute_force_with_a_hot_phrase(spark):
              for i in range(400)}
     df = spark.createDataFrame(list(texts.items()), "id long, text string")
     got = {}
-    for r in SC.keyphrases(df, "text", "id").orderBy("id", "rank").collect():
+    for r in SC.keyphrases(df, "text", "id", 10).orderBy("id", "rank").collect():
         got.setdefault(r.id, []).append((r.phrase, r.score))
     want = brute_keyphrases(texts)
     assert {i: [p for p, _ in v] for i, v in got.items()} == {

@@ -95,7 +95,6 @@ ENTITY_RULES = [
 ]
 GAZETTEER_CONFIDENCE = 0.9
 CAPITALISED_RUN = ("MISC", r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+", 0.5)
-KEYPHRASES_KEPT = 10
 
 # --- fixed values: summaries ---------------------------------------------------------
 TOP_TOPICS, TOPICS_USED, TOPIC_SAMPLES = 10, 3, 5

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxtab.constants import (
     DEFAULT_PRICE,
@@ -16,6 +17,7 @@ from voxtab.constants import (
     TOPICS_PER_COMMENT,
 )
 from voxtab.functions.values import py_round
+from voxtab.operators.skew import group_join
 
 RULE_NAMES = ["sentiment_label", "sentiment_score", "emotion_label", "emotion_confidence",
               "topics_count", "entity_confidence"]
@@ -66,27 +68,58 @@ def call_metrics(log: DataFrame, key: str, time_col: str, ok: Column, order_cols
         py_round(F.sum(seconds) / calls, 3).alias("average_time_seconds"),
         py_round(F.min(seconds), 3).alias("min_time_seconds"),
         py_round(F.max(seconds), 3).alias("max_time_seconds"),
-        F.max_by(seconds, F.struct(*order_cols)).alias("last_execution_time"),
+        F.max_by(seconds, _one_order(log, order_cols)).alias("last_execution_time"),
         py_round(F.sum(cost), 4).alias("total_cost"),
         py_round(F.sum(cost) / calls, 6).alias("average_cost"),
     )
 
 
 def latency_percentiles(log: DataFrame, key: str, time_col: str, ok: Column,
-                        accuracy: int = 100_000) -> DataFrame:
+                        accuracy: int | None = None) -> DataFrame:
     """P50, P95, P99 (actual values), calls per second of busy time, error rate.
 
-    The percentiles come from a mergeable sketch of bounded size, exact while a
-    group has fewer than ``accuracy`` rows, so no group is held in one task.
+    Exact: equal values of a key are counted before the shuffle, and the percentiles
+    are read off the running counts of distinct values. ``accuracy`` asks for a
+    mergeable sketch of bounded size instead.
     """
-    p = F.percentile_approx(time_col, [0.5, 0.95, 0.99], accuracy)
     calls = F.count("*")
-    return log.groupBy(key).agg(
-        p.alias("_p"), calls.alias("calls"),
-        (calls / F.nullif(F.sum(time_col), F.lit(0.0))).alias("calls_per_second"),
-        ((calls - F.count_if(ok)) / calls).alias("error_rate"),
-    ).select(key, F.col("_p")[0].alias("p50"), F.col("_p")[1].alias("p95"),
-             F.col("_p")[2].alias("p99"), "calls", "calls_per_second", "error_rate")
+    figures = [calls.alias("calls"),
+               (calls / F.nullif(F.sum(time_col), F.lit(0.0))).alias("calls_per_second"),
+               ((calls - F.count_if(ok)) / calls).alias("error_rate")]
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    if accuracy is not None:
+        p = F.percentile_approx(time_col, list(shares.values()), accuracy)
+        return log.groupBy(key).agg(p.alias("_p"), *figures).select(
+            key, *[F.col("_p")[i].alias(n) for i, n in enumerate(shares)],
+            "calls", "calls_per_second", "error_rate")
+    value = F.col(time_col)
+    counts = log.where(value.isNotNull()).groupBy(key, value.alias("_v")).agg(calls.alias("_n"))
+    whole = Window.partitionBy(key)
+    upto = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn(
+        "_all", F.sum("_n").over(whole))
+    found = placed.groupBy(key).agg(*[
+        F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * share), F.col("_v"))).alias(name)
+        for name, share in shares.items()])
+    return group_join(log.groupBy(key).agg(*figures), found, [key]).select(
+        key, *shares, "calls", "calls_per_second", "error_rate")
+
+
+def _one_order(df: DataFrame, order_cols: Sequence[str]) -> Column:
+    """The order columns as one number where that can be, which a hash aggregate can hold; else a struct.
+
+    One whole number or time stands for itself. Of a time and a whole number, the
+    microseconds make up the high digits of a decimal.
+    """
+    kinds = [df.schema[c].dataType for c in order_cols]
+    whole = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+    times = (T.TimestampType, T.TimestampNTZType)
+    if len(kinds) == 1 and isinstance(kinds[0], whole + times):
+        return F.col(order_cols[0])
+    if len(kinds) == 2 and isinstance(kinds[0], times) and isinstance(kinds[1], whole):
+        micros = F.unix_micros(F.col(order_cols[0]).cast("timestamp")).cast("decimal(18,0)")
+        return micros * F.lit("2" + "0" * 19).cast("decimal(20,0)") + F.col(order_cols[1]).cast("decimal(19,0)")
+    return F.struct(*order_cols)
 
 
 def range_checks(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

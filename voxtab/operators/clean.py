@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from voxtab.constants import MIN_ROWS, REMOVAL_REASONS
 from voxtab.functions import text as X
 from voxtab.functions.values import compute_once, fixed
-from voxtab.operators.skew import first_per_key
+from voxtab.operators.skew import first_per_key, group_join
+from voxtab.sources.catalog import written
 
 
-def with_clean_text(df: DataFrame, text_col: str, out: str = "clean_text") -> DataFrame:
+def with_clean_text(df: DataFrame, text_col: str, out: str = "clean_text",
+                    where: Column | str | None = None) -> DataFrame:
+    """Adds the cleaned text. ``where`` filters on stored columns before the cleaning."""
+    df = df if where is None else df.where(where)
     return df.withColumn(out, compute_once(X.clean_text(F.col(text_col).cast("string"))))
 
 
@@ -22,39 +26,48 @@ def _judged(df: DataFrame, text_col: str) -> DataFrame:
     return cleaned.withColumn("_reason", X.removal_reason(F.col(text_col), F.col("clean_text")))
 
 
+def _repeats(judged: DataFrame, id_col: str, group_cols: Sequence[str]) -> DataFrame:
+    """``_repeat``: ids of usable rows whose text an earlier row of the group has.
+
+    Digests and ids alone are shuffled: the smallest id of each digest is a plain
+    hash aggregate, and only digests that stand more than once are joined back.
+    """
+    keyed = judged.where(F.col("_reason").isNull()).select(
+        F.col(id_col).alias("_repeat"), *group_cols, X.text_key(F.col("clean_text")).alias("_key"))
+    firsts = keyed.groupBy(*group_cols, "_key").agg(
+        F.min("_repeat").alias("_first"), F.count("*").alias("_n"))
+    more = firsts.where(F.col("_n") > 1)
+    met = group_join(keyed, more, [*group_cols, "_key"], "inner")
+    return met.where(F.col("_repeat") != F.col("_first")).select("_repeat")
+
+
+def _marked(df: DataFrame, text_col: str, id_col: str, group_cols: Sequence[str]) -> DataFrame:
+    """Rows with ``clean_text`` and ``removal_reason``; each text is cleaned once and written down."""
+    if df.where(F.col(id_col).isNull()).limit(1).count():
+        raise ValueError(f"Column '{id_col}' holds NULL ids")
+    judged = written(_judged(df, text_col))
+    repeats = _repeats(judged, id_col, group_cols).withColumn("_again", F.lit(True))
+    marked = judged.join(repeats.hint("shuffle_hash"), F.col(id_col) == F.col("_repeat"), "left")
+    reason = F.coalesce("_reason", F.when(F.col("_again"), "duplicate"))
+    return marked.withColumn("removal_reason", reason).drop("_reason", "_repeat", "_again")
+
+
 def classify(df: DataFrame, text_col: str, id_col: str,
              group_cols: Sequence[str] = ()) -> DataFrame:
     """Every input row with ``clean_text`` and ``removal_reason`` (NULL = kept).
 
-    The first row of each text is found on digests alone, with partial
-    aggregation; it is marked through the unique id, so equal texts, however
-    many, never meet in one task.
+    Repeats are found on digests and marked through the unique id, so equal texts,
+    however many, never meet in one task. NULL ids are an error.
     """
-    judged = _judged(df, text_col)
-    keepers = (
-        judged.where(F.col("_reason").isNull())
-        .groupBy(*group_cols, X.text_key(F.col("clean_text")).alias("_key"))
-        .agg(F.min(id_col).alias("_first_id"))
-        .select("_first_id")
-    )
-    marked = judged.join(keepers, F.col(id_col) == F.col("_first_id"), "left")
-    reason = F.coalesce("_reason", F.when(F.col("_first_id").isNull(), "duplicate"))
-    return marked.withColumn("removal_reason", reason).drop("_reason", "_first_id")
+    return _marked(df, text_col, id_col, group_cols)
 
 
 def clean(df: DataFrame, text_col: str, id_col: str,
           group_cols: Sequence[str] = ()) -> DataFrame:
-    """Kept rows only, text replaced by clean text.
-
-    One scan and one shuffle: whole rows travel with their digest, and all but
-    the first of each text are already dropped on the map side.
-    """
-    judged = _judged(df, text_col).where(F.col("_reason").isNull())
-    row = F.struct(*[F.col("clean_text").alias(c) if c == text_col else F.col(c)
-                     for c in df.columns])
-    key = X.text_key(F.col("clean_text")).alias("_key")
-    firsts = judged.groupBy(*group_cols, key).agg(F.min_by(row, id_col).alias("_row"))
-    return firsts.select("_row.*")
+    """Kept rows only, text replaced by clean text; texts are never sorted."""
+    kept = _marked(df, text_col, id_col, group_cols).where(F.col("removal_reason").isNull())
+    return kept.select(*[F.col("clean_text").alias(c) if c == text_col else F.col(c)
+                         for c in df.columns])
 
 
 def drop_unusable(df: DataFrame, text_col: str) -> DataFrame:

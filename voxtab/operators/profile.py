@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -66,7 +67,7 @@ def _from_head(head: DataFrame, order_col: str, fields: list[tuple[int, T.Struct
         f"struct({i} AS position, {_text(f.name)} AS column, "
         f"CASE WHEN {_present(f)} THEN {printed(_name(f), f)} END AS value)" for i, f in fields)
     long = head.select(F.col(f"`{order_col}`").alias("_order"), F.expr(f"inline(array({cells}))"))
-    return top_k(long.where("value IS NOT NULL"), sample, [F.col("_order")],
+    return top_k(long.where("value IS NOT NULL"), sample, [F.col("_order").asc_nulls_last()],
                  ["position", "column"]).select("position", "column", "_order", "value")
 
 
@@ -76,7 +77,7 @@ def _from_column(df: DataFrame, order_col: str, position: int, field: T.StructFi
     return (
         df.where(_present(field))
         .select(F.col(f"`{order_col}`").alias("_order"), F.col(_name(field)).alias("_c"))
-        .orderBy("_order").limit(sample)
+        .orderBy(F.col("_order").asc_nulls_last()).limit(sample)
         .select(F.lit(position).alias("position"), F.lit(field.name).alias("column"), "_order",
                 F.expr(printed("_c", field)).alias("value"))
     )
@@ -89,7 +90,7 @@ def column_heads(df: DataFrame, order_col: str, sample: int = SAMPLE,
     The unique order column alone gives the end of a short head; the head is then
     read with a pushed-down range filter, which skips the rest of an ordered table.
     Only columns too sparse to fill their sample there are read in full, each on
-    its own.
+    its own. Rows without an order key come last.
     """
     fields = list(enumerate(df.schema.fields))
     order = F.col(f"`{order_col}`")
@@ -98,9 +99,9 @@ def column_heads(df: DataFrame, order_col: str, sample: int = SAMPLE,
     if not rows:
         return reduce(DataFrame.unionAll,
                       [_from_column(df, order_col, i, f, sample) for i, f in fields])
-    head = df.where(order <= F.lit(end))
     if rows < window:
-        return _from_head(head, order_col, fields, sample)
+        return _from_head(df, order_col, fields, sample)
+    head = df.where(order <= F.lit(end))
     counts = ", ".join(f"count_if({_present(f)})" for _, f in fields)
     filled = head.agg(F.expr(f"array({counts})")).first()[0]
     full = [x for x, n in zip(fields, filled) if n >= sample]
@@ -198,28 +199,30 @@ def text_column_candidates(df: DataFrame, order_col: str, hint: str | None = Non
         "_s.sample_values")
 
 
-def arbitrate(candidates: DataFrame, decisions: DataFrame, answer_col: str = "answer") -> DataFrame:
-    """The chosen column, after an optional outside decision given as a JSON table.
+def arbitrate(candidates: DataFrame, decisions: DataFrame, answer_col: str = "answer",
+              keys: Sequence[str] = ()) -> DataFrame:
+    """The chosen column, after optional outside decisions given as a JSON table.
 
     Only asked for when the best confidence is below 0.7. An answer that does not
-    parse or names no candidate changes nothing.
+    parse or names no candidate changes nothing; of several that name one, the
+    candidate of the best rank is taken. With ``keys``, which both tables have,
+    there is a choice for every upload.
     """
     answer = F.from_json(strip_fence(F.col(answer_col)), DECISION, {"allowSingleQuotes": "false"})
-    picks = decisions.select(answer.alias("_a")).select(
-        F.col("_a.column").alias("column"),
-        F.coalesce("_a.reasoning", F.lit("Selected by LLM")).alias("_reasoning")).where(
-        F.col("column").isNotNull()).limit(1)
-    joined = candidates.join(F.broadcast(picks), "column", "left")
+    picks = decisions.select(*keys, answer.alias("_a")).where(F.col("_a.column").isNotNull()).groupBy(
+        *keys, F.col("_a.column").alias("column")).agg(
+        F.min(F.coalesce("_a.reasoning", F.lit("Selected by LLM"))).alias("_reasoning"))
+    joined = candidates.join(picks, [*keys, "column"], "left")
     row = F.struct("column", "confidence", "reason", "sample_values")
     picked = F.struct("column", F.lit(ARBITRATION_CONFIDENCE).alias("confidence"),
                       F.concat(F.lit("LLM: "), "_reasoning").alias("reason"), "sample_values")
-    both = joined.agg(
+    both = joined.groupBy(*keys).agg(
         F.min_by(row, "rank").alias("_best"),
-        F.max(F.when(F.col("_reasoning").isNotNull(), picked)).alias("_pick"))
+        F.min_by(picked, F.when(F.col("_reasoning").isNotNull(), F.col("rank"))).alias("_pick"))
     use = (F.col("_best.confidence") < ARBITRATION_BELOW) & F.col("_pick").isNotNull()
     chosen = F.when(use, F.col("_pick")).otherwise(F.col("_best"))
     return both.where(F.col("_best").isNotNull()).select(
-        chosen["column"].alias("column_name"), chosen["confidence"].alias("confidence"),
+        *keys, chosen["column"].alias("column_name"), chosen["confidence"].alias("confidence"),
         F.when(use, "llm").otherwise("heuristic").alias("method"),
         chosen["reason"].alias("reasoning"))
 

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxtab.constants import GAZETTEER_CONFIDENCE, KEYPHRASES_KEPT
+from voxtab.constants import GAZETTEER_CONFIDENCE
 from voxtab.functions import scoring as S
 from voxtab.functions.text import text_key
 from voxtab.functions.values import compute_once, let
-from voxtab.operators.skew import split_join, top_k
+from voxtab.operators.skew import group_join, split_join
 from voxtab.schemas import SPANS
 from voxtab.sources.catalog import checkpoint, written
 
@@ -27,12 +27,16 @@ DEFAULTS: dict[str, Callable[[], Column]] = {
     "emotion": S.no_emotion,
     "keyphrases": S.no_keyphrases,
 }
-GAZETTEER_BROADCAST_ROWS = 100_000
-FIRST_WORDS = 1000
 
 
-def score(df: DataFrame, text_col: str, scorers: Sequence[str] = tuple(SCORERS)) -> DataFrame:
-    """Adds one struct column per scorer; optional scorers left out give their defaults."""
+def score(df: DataFrame, text_col: str, scorers: Sequence[str] = tuple(SCORERS),
+          where: Column | str | None = None) -> DataFrame:
+    """Adds one struct column per scorer; optional scorers left out give their defaults.
+
+    Filters on the result stay above the scoring; give those on stored columns as
+    ``where``, which reaches the scan.
+    """
+    df = df if where is None else df.where(where)
     text = F.col(text_col)
     added = {}
     for name in scorers:
@@ -119,30 +123,46 @@ def _phrases(text: Column) -> Column:
     return F.filter(trimmed, lambda g: F.length(g["phrase"]) > 2)
 
 
-def keyphrases(df: DataFrame, text_col: str, id_col: str,
-               keep: int = KEYPHRASES_KEPT) -> DataFrame:
-    """Long table (id, rank, phrase, score): tf * ln(1 + N/df), 1.0 for each row's best.
+def _counted(grams: Column) -> Column:
+    """Of an array of struct(pos, phrase), each phrase with its count and first position."""
+    def runs(g: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: (i == 0) | (
+            F.get(g, i)["phrase"] != F.get(g, i - 1)["phrase"]))
+        return let(starts, lambda s: F.transform(s, lambda at, k: F.struct(
+            F.get(g, at)["phrase"].alias("phrase"), F.get(g, at)["pos"].alias("first_pos"),
+            (F.coalesce(F.get(s, k + 1), F.size(g)) - at).alias("tf"))))
+
+    by_phrase = F.transform(grams, lambda g: F.struct(g["phrase"].alias("phrase"), g["pos"].alias("pos")))
+    return F.when(F.size(grams) > 0, let(F.sort_array(by_phrase), runs))
+
 
-    Counts per (row, phrase) and per phrase combine before their shuffles; phrases
-    of a large share of the corpus reach their counts by broadcast (``split_join``).
+def keyphrases(df: DataFrame, text_col: str, id_col: str, keep: int | None = None,
+               group_cols: Sequence[str] = ()) -> DataFrame:
+    """Long table (id, groups, rank, phrase, score): tf * ln(1 + N/df), 1.0 for each row's best.
+
+    N and df are those of the row's group. ``keep`` cuts the phrases of a row.
+    Phrases are counted within their row and written down once. Counts over rows go
+    by a 128-bit digest of phrase and group; digests of a large share of the corpus
+    reach their counts by broadcast (``split_join``).
     """
-    rows = df.select(id_col, text_col)
-    grams = rows.select(id_col, F.inline(compute_once(_phrases(F.col(text_col)))))
-    tf = grams.groupBy(id_col, "phrase").agg(
-        F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
-    per_phrase = tf.groupBy("phrase").agg(F.count("*").alias("df"))
-    n = rows.agg(F.count("*")).scalar()
-    raw = F.col("tf") * F.log(1.0 + n / F.col("df"))
-    weighed = split_join(tf, per_phrase, ["phrase"], "df").withColumn("raw", raw)
-    ranked = top_k(weighed, keep, [F.desc("raw"), F.asc("first_pos")], [id_col])
-    best = F.max(F.struct(-F.col("rank"), F.col("raw")))["raw"]
-    packed = ranked.groupBy(id_col).agg(
-        best.alias("best"),
-        F.sort_array(F.collect_list(F.struct("rank", "phrase", "raw"))).alias("_all"))
-    return packed.select(
-        id_col, F.inline(F.transform("_all", lambda s: F.struct(
-            s["rank"].alias("rank"), s["phrase"].alias("phrase"),
-            (s["raw"] / F.col("best")).alias("score")))))
+    groups = list(group_cols)
+    own = F.inline(compute_once(_counted(_phrases(F.col(text_col)))))
+    key = [F.coalesce(F.col(g).cast("string"), F.lit("")) for g in groups] + [
+        F.col(g).isNull() for g in groups]
+    tf = written(df.select(id_col, *groups, own).select(
+        "*", F.xxhash64("phrase", *key).alias("_k1"), F.xxhash64(F.lit(1), "phrase", *key).alias("_k2")))
+    sizes = df.groupBy(*groups).agg(F.count("*").alias("_rows"))
+    per_phrase = tf.groupBy("_k1", "_k2").agg(F.count("*").alias("df"))
+    weighed = split_join(tf, per_phrase, ["_k1", "_k2"], "df")
+    weighed = group_join(weighed, sizes, groups) if groups else weighed.withColumn(
+        "_rows", sizes.scalar())
+    weighed = weighed.withColumn("raw", F.col("tf") * F.log(1.0 + F.col("_rows") / F.col("df")))
+    w = Window.partitionBy(id_col).orderBy(F.desc("raw"), F.asc("first_pos"))
+    ranked = weighed.withColumn("rank", F.row_number().over(w))
+    if keep is not None:
+        ranked = ranked.where(F.col("rank") <= keep)
+    best = F.first("raw").over(Window.partitionBy(id_col).orderBy("rank"))
+    return ranked.select(id_col, *groups, "rank", "phrase", (F.col("raw") / best).alias("score"))
 
 
 def keyphrase_records(phrases: DataFrame, id_col: str) -> DataFrame:
@@ -168,34 +188,30 @@ def with_keyphrases(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
 # --- gazetteer entities ----------------------------------------------------------------
 
 
-def _word_grams(text: Column, lengths: Sequence[int], first_words: Sequence[str] = ()) -> Column:
-    """Distinct runs of so many words (letters and digits), joined by one space.
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
-    With ``first_words``, only runs that start with one of them.
-    """
-    tokens = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
+def _word_grams(text: Column, lengths: Sequence[int]) -> Column:
+    """Distinct runs of so many words (letters and digits), joined by one space."""
     def runs(t: Column, n: int) -> Column:
-        def at(word: Column, i: Column) -> Column:
-            fits = i + n <= F.size(t)
-            if first_words:
-                fits = fits & word.isin(*first_words)
-            return F.when(fits, F.array_join(F.slice(t, i + 1, n), " "))
-
-        return F.transform(t, at)
+        return F.transform(F.sequence(F.lit(1), F.size(t) - n + 1),
+                           lambda i: F.array_join(F.slice(t, i, n), " "))
 
     def grams(t: Column) -> Column:
-        every = F.concat(*[runs(t, n) for n in lengths])
-        return F.array_distinct(F.array_compact(every))
+        none = F.array().cast("array<string>")
+        return F.array_distinct(F.concat(*[
+            F.when(F.size(t) >= n, runs(t, n)).otherwise(none) for n in lengths]))
 
-    return let(tokens, grams)
+    return let(_words(text), grams)
 
 
 def _name_spans(text: Column, names: Column) -> Column:
     """All places of the given array of struct(name, type), longest and leftmost first."""
 
     def places(n: Column) -> Column:
-        whole = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), n["name"], F.lit(r"\E(?![\p{L}\p{N}])"))
+        literal = F.replace(n["name"], F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+        whole = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), literal, F.lit(r"\E(?![\p{L}\p{N}])"))
         pieces = F.split(text, whole)
         none = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
 
@@ -223,31 +239,28 @@ def _name_spans(text: Column, names: Column) -> Column:
     return F.aggregate(every, F.array().cast(SPANS), take)
 
 
-def entities_with_gazetteer(df: DataFrame, text_col: str, id_col: str, gazetteer: DataFrame,
-                            longest: int = 4) -> DataFrame:
+def entities_with_gazetteer(df: DataFrame, text_col: str, id_col: str,
+                            gazetteer: DataFrame) -> DataFrame:
     """Adds ``entities``: rules first, then names of a (name, type) table, then runs.
 
-    Word runs of each text are matched to the table by an equality join. The table
-    is broadcast only after a check that it has few rows; beyond that the join is
-    left to the planner. While the names begin with few different words, only runs
-    that begin so are looked up. Names are runs of at most ``longest`` words.
+    Names and texts are cut into words by the same rule; runs of words are matched
+    to the names by an equality join that the planner chooses, and a name that was
+    met is then looked for in the text as it is written, so names may have any
+    length and hold any character. A name with several types gets the smallest.
+    Names without a letter or digit are left out.
     """
-    n_words = F.size(F.split("_gram", " "))
-    names = (
-        gazetteer.select(F.col("name").alias("_gram"), "type").dropDuplicates(["_gram"])
-        .where(n_words <= longest)
-    )
-    lengths = sorted(r[0] for r in names.select(n_words).distinct().collect())
-    firsts = names.select(F.split("_gram", " ")[0]).distinct().limit(FIRST_WORDS + 1).collect()
-    first_words = [r[0] for r in firsts] if len(firsts) <= FIRST_WORDS else []
-    if names.limit(GAZETTEER_BROADCAST_ROWS + 1).count() <= GAZETTEER_BROADCAST_ROWS:
-        names = F.broadcast(names)
+    words = _words(F.col("name"))
+    names = gazetteer.groupBy("name").agg(F.min("type").alias("type")).select(
+        F.array_join(words, " ").alias("_gram"), "name", "type", F.size(words).alias("_words")).where(
+        F.col("_words") > 0)
+    lengths = sorted(r[0] for r in names.select("_words").distinct().collect())
+    names = names.drop("_words")
     text = F.col(text_col)
     none = F.array().cast("array<struct<name:string,type:string>>")
     if lengths:
         grams = df.select(id_col, F.explode(
-            compute_once(_word_grams(text, lengths, first_words))).alias("_gram"))
-        found = F.collect_list(F.struct(F.col("_gram").alias("name"), "type"))
+            compute_once(_word_grams(text, lengths))).alias("_gram"))
+        found = F.collect_list(F.struct("name", "type"))
         hits = grams.join(names, "_gram").groupBy(id_col).agg(F.sort_array(found).alias("_names"))
         df = df.join(hits, id_col, "left")
     else:

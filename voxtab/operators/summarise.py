@@ -30,12 +30,10 @@ from voxtab.operators.skew import first_per_key, group_join, top_k
 def _order_key(id_col: str, pos: Column, slots: int | None) -> Column:
     """One number for (id, position), so that first-seen order is a plain minimum.
 
-    Both forms keep the counting in a hash aggregate, which a struct would not.
-    ``slots`` bounds the position; without a bound the key is a wide decimal.
+    A decimal holds it for every id and keeps the counting in a hash aggregate,
+    which a struct would not. ``slots`` bounds the position.
     """
-    if slots is None:
-        return F.col(id_col).cast("decimal(20,0)") * F.lit(1 << 31) + pos
-    return F.col(id_col) * slots + pos
+    return F.col(id_col).cast("decimal(20,0)") * F.lit(slots or 1 << 31) + pos
 
 
 def distribution(scored: DataFrame, label: Column | str, group_cols: Sequence[str] = (),

@@ -111,8 +111,7 @@ dfs AS (SELECT phrase, count(*) AS df FROM tf GROUP BY 1),
 weighed AS (SELECT id, phrase, pos, tf * ln(1.0 + (SELECT count(*) FROM kept) / df) AS raw
   FROM tf JOIN dfs USING (phrase)),
 phrases AS (SELECT * FROM (SELECT id, phrase, raw / max(raw) OVER (PARTITION BY id) AS score,
-  row_number() OVER (PARTITION BY id ORDER BY raw DESC, pos) AS rank FROM weighed)
-  WHERE rank <= 10)"""
+  row_number() OVER (PARTITION BY id ORDER BY raw DESC, pos) AS rank FROM weighed))"""
 
 _EMAIL = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"
 _URL = r"(https?://[^\s<>\"]+|www\.[^\s<>\"]+)"

@@ -47,7 +47,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return K.spread(K.read_table(spark, d, "documents"))
+    return K.read_table(spark, d, "documents")
 
 
 def chats(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +170,7 @@ def clean_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query(O.with_(O.PAGES, O.CLEANED, body="SELECT id AS page_id, t AS clean_text FROM cleaned"))
 def clean_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = K.spread(K.read_table(spark, d, "pages").select("page_id", "html"))
+    pages = K.read_table(spark, d, "pages").select("page_id", "html")
     return C.with_clean_text(pages, "html").select("page_id", "clean_text")
 
 
@@ -203,7 +203,7 @@ def _ledger_query(name: str, source: str, read: Callable[[SparkSession, str], Da
 
 _ledger_query("ledger_documents", O.DOCS, docs, "text")
 _ledger_query("ledger_pages", O.PAGES,
-              lambda s, d: K.spread(K.read_table(s, d, "pages")), "html")
+              lambda s, d: K.read_table(s, d, "pages"), "html")
 _ledger_query("ledger_conversations", O.CHATS, chats, "text")
 
 
@@ -497,10 +497,10 @@ def mean_confidence(spark: SparkSession, d: str) -> DataFrame:
 def _gate(spark: SparkSession, d: str) -> DataFrame:
     comments = K.written(kept(spark, d))
     s = K.written(SC.score(comments, "text").select(
-        "doc_id", F.substring("text", 1, 100).alias("text"), "sentiment", "emotion", "topics",
+        "doc_id", F.substring("text", 1, 100).alias("sample"), "sentiment", "emotion", "topics",
         "entities"))
-    return G.gate_inputs(comments, s, U.topic_summary(s, "text", "doc_id", samples=0),
-                         U.entity_summary(s, "text", "doc_id", contexts=0))
+    return G.gate_inputs(comments, s, U.topic_summary(s, "sample", "doc_id", samples=0),
+                         U.entity_summary(s, "sample", "doc_id", contexts=0))
 
 
 @query(O.with_(*GATE_SQL, body="""SELECT check_order, name, passed, round(score, 6) AS score
@@ -919,9 +919,14 @@ def sliding_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT date_trunc('week', ts) AS period, event_type AS label, count(*) AS cnt
   FROM events GROUP BY ALL), s AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY period) AS share
-  FROM c) SELECT period, label, cnt, round(share, 6) AS share,
-  cnt - lag(cnt) OVER (PARTITION BY label ORDER BY period) AS cnt_change,
-  round(share - lag(share) OVER (PARTITION BY label ORDER BY period), 6) AS share_change FROM s""")
+  FROM c), p AS (SELECT DISTINCT period FROM s), a AS (SELECT period, label FROM s UNION
+  SELECT p.period, label FROM s JOIN p ON p.period = s.period + INTERVAL 7 DAY)
+  SELECT a.period, a.label, coalesce(n.cnt, 0) AS cnt, round(coalesce(n.share, 0), 6) AS share,
+  CASE WHEN q.period IS NOT NULL THEN coalesce(n.cnt, 0) - coalesce(b.cnt, 0) END AS cnt_change,
+  CASE WHEN q.period IS NOT NULL THEN round(coalesce(n.share, 0) - coalesce(b.share, 0), 6) END
+  AS share_change FROM a LEFT JOIN s n ON n.period = a.period AND n.label = a.label
+  LEFT JOIN s b ON b.period = a.period - INTERVAL 7 DAY AND b.label = a.label
+  LEFT JOIN p q ON q.period = a.period - INTERVAL 7 DAY""")
 def period_comparison(spark: SparkSession, d: str) -> DataFrame:
     return ST.period_comparison(_events(spark, d), "ts", "event_type").select(
         "period", "label", "cnt", rounded("share"), "cnt_change", rounded("share_change"))

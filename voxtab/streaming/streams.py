@@ -40,16 +40,30 @@ def label_counts(scored: DataFrame, ts_col: str, label: str, width: str,
 
 
 def period_comparison(events: DataFrame, ts_col: str, label: str, unit: str = "week") -> DataFrame:
-    """Per period and label: cnt, share, and the change of both to the period before.
+    """Per period and label: cnt, share, and the change of both to the period just before.
 
-    The windows run over one row per period and label, not over the events.
+    A label that a period lacks counts 0 there, if the label stands in the period
+    before it; changes are NULL where the period before has no event at all. The
+    joins and windows run over one row per period and label, not over the events.
     """
     period = F.date_trunc(unit, ts_col).cast(events.schema[ts_col].dataType).alias("period")
     counts = events.groupBy(period, F.col(label).alias("label")).agg(F.count("*").alias("cnt"))
     share = F.col("cnt") / F.sum("cnt").over(Window.partitionBy("period"))
-    before = Window.partitionBy("label").orderBy("period")
-    with_share = counts.withColumn("share", share)
-    return with_share.withColumns({
-        "cnt_change": F.col("cnt") - F.lag("cnt").over(before),
-        "share_change": F.col("share") - F.lag("share").over(before),
-    })
+    now = counts.withColumn("share", share)
+    after = (F.expr(f"timestampadd({unit}, 1, period)")).cast(now.schema["period"].dataType)
+    before = now.select(after.alias("_period"), F.col("label").alias("_label"),
+                        F.col("cnt").alias("_cnt"), F.col("share").alias("_share"))
+    same = (F.col("period") == F.col("_period")) & F.col("label").eqNullSafe(F.col("_label"))
+    both = now.join(before, same, "full").select(
+        F.coalesce("period", "_period").alias("period"),
+        F.when(F.col("period").isNull(), F.col("_label")).otherwise(F.col("label")).alias("label"),
+        F.coalesce("cnt", F.lit(0)).alias("cnt"), F.coalesce("share", F.lit(0.0)).alias("share"),
+        "_cnt", "_share", F.col("period").isNotNull().alias("_here"))
+    # Periods that have events, and those that follow one.
+    w = Window.partitionBy("period")
+    both = both.withColumn("_any", F.max("_here").over(w)).withColumn(
+        "_after", F.max(F.col("_cnt").isNotNull()).over(w)).where("_any")
+    return both.select(
+        "period", "label", "cnt", "share",
+        F.when(F.col("_after"), F.col("cnt") - F.coalesce("_cnt", F.lit(0))).alias("cnt_change"),
+        F.when(F.col("_after"), F.col("share") - F.coalesce("_share", F.lit(0.0))).alias("share_change"))
