@@ -15,14 +15,13 @@ def test_round_trip(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     folder = tempfile.mkdtemp() + "/w"
     warc.write_archives(pages, folder, file_records=2)
-    got = Counter(tuple(r) for r in warc.page_records(warc.read_archives(spark, folder)).collect())
-    want, seen = Counter(), {}
+    got = Counter(tuple(r) for r in warc.read_pages(spark, folder).collect())
+    want, seen = Counter(), {}  # payload: page of its response
     for i, _, html in sorted(rows, key=lambda r: (r[0] is None, r[0])):
         raw = (html or "").encode()
         digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
-        new = raw not in seen
+        new = seen.setdefault(raw, i) == i  # a repeated row is a response as well
         want[(i, len(raw), digest, "response" if new else "revisit", None if new else seen[raw])] += 1
-        seen.setdefault(raw, i)
     assert got == want
 
 
@@ -30,7 +29,7 @@ def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     folder = tempfile.mkdtemp() + "/w"
     warc.write_archives(pages, folder)
-    assert warc.page_records(warc.read_archives(spark, folder)).count() == 0
+    assert warc.read_pages(spark, folder).count() == 0
 
 
 def test_chain_leaves_out_what_is_not_reached(spark):

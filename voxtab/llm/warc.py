@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxtab.functions.values import let
-from voxtab.llm.common import numbered, read_table, written
+from voxtab.llm.common import read_table, written
 from voxtab.operators.skew import split_join
 from voxtab.sources.catalog import shared_folder
 
@@ -36,7 +37,7 @@ def base32_sha1(payload: Column) -> Column:
     return let(F.sha1(payload), letters)
 
 
-def _header(name: str, value: Column) -> Column:
+def _line(name: str, value: Column) -> Column:
     """A header line, or nothing if the value is NULL. Control characters would break the line."""
     safe = F.when(value.rlike(r"[\x00-\x20\x7f]"), F.url_encode(value)).otherwise(value)
     return F.coalesce(F.concat(F.lit(f"{name}: "), safe, F.lit(END)), F.lit(""))
@@ -46,72 +47,97 @@ def as_records(pages: DataFrame) -> DataFrame:
     """One ``value`` per page: its WARC record without the last line end.
 
     Of pages with equal payloads that with the smallest page_id is the response
-    (NULL ids last; of equal ids one row), the others revisit it and carry no payload.
+    (NULL ids last; rows that repeat page and payload are all responses), the others
+    revisit it and carry no payload. Payloads are told apart by SHA-256.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = numbered(pages, F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                    F.coalesce("html", F.lit("")).alias("html"), base32_sha1(payload).alias("digest"),
-                    F.sha2(payload, 256).alias("key"))
-    least = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "_row"))
-    heads = written(rows.groupBy("key").agg(least.alias("head"), F.count("*").alias("n")))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+                        F.coalesce("html", F.lit("")).alias("html"), base32_sha1(payload).alias("digest"),
+                        F.sha2(payload, 256).alias("key"))
+    heads = written(rows.groupBy("key").agg(F.min("page_id").alias("head"), F.count("*").alias("n")))
     joined = split_join(rows, heads, ["key"], "n")
-    first = F.col("head._row") == F.col("_row")
+    first = F.col("head").eqNullSafe(F.col("page_id"))
     size = F.octet_length("html").cast("string")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}"),
-                    _header("Content-Length", size), F.lit(END))
+                    _line("Content-Length", size), F.lit(END))
     block = F.when(first, F.concat(http, F.col("html"))).otherwise(http)
     page = F.col("page_id").cast("string")
-    urn = F.concat(F.lit("<urn:row:"), F.col("_row").cast("string"), F.lit(">"))
+    urn = F.concat(F.lit("<urn:page:"), F.coalesce(page, F.lit("none")), F.lit(">"))
     head = F.concat(
         F.lit(f"{VERSION}{END}"),
         F.lit("WARC-Type: "), F.when(first, "response").otherwise("revisit"), F.lit(END),
-        _header("WARC-Record-ID", urn), _header("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
-        _header("WARC-Target-URI", F.col("url")), _header("X-Page-ID", page),
-        _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
+        _line("WARC-Record-ID", urn), _line("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
+        _line("WARC-Target-URI", F.col("url")), _line("X-Page-ID", page),
+        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
         F.when(~first, F.concat(
             F.lit(f"WARC-Profile: {PROFILE}{END}"),
-            _header("X-Refers-To-Page-ID", F.col("head.page_id").cast("string")))).otherwise(""),
+            _line("X-Refers-To-Page-ID", F.col("head").cast("string")))).otherwise(""),
         F.lit(f"Content-Type: application/http;msgtype=response{END}"),
-        _header("Content-Length", F.octet_length(block).cast("string")), F.lit(END))
+        _line("Content-Length", F.octet_length(block).cast("string")), F.lit(END))
     return joined.select(F.concat(head, block, F.lit(END)).alias("value"))
 
 
 def write_archives(pages: DataFrame, folder: str, file_records: int = FILE_RECORDS) -> None:
-    """Write pages as archive files. Spark's text writer commits whole files of tasks that ended well."""
-    as_records(pages).write.option("lineSep", END).option("maxRecordsPerFile", file_records).text(folder)
+    """Write pages as gzipped archive files. Spark's text writer commits whole files of tasks that ended well."""
+    as_records(pages).write.option("lineSep", END).option("maxRecordsPerFile", file_records).option(
+        "compression", "gzip").text(folder)
 
 
 
-def candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """``file``, ``start``, ``stop`` and ``value`` (without the magic) of all that may be a record.
+def _rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What lies between two magics, in order within (``file``, ``block``, ``k``).
 
-    Files are read in splits that end at the magic, so a row is what lies between two
-    of them, and lengths add up to offsets. A magic that doesn't follow a blank line
-    starts no record and is put back into the row before; hence a header is whole.
-    ``stop`` is where the next record starts if this is one, NULL if its header has no
-    length. A magic in a payload may well come out as a candidate.
+    Files are read in splits that end at the magic; a gzipped file is one split. The
+    same files give the same numbers again.
     """
-    rows = spark.read.option("lineSep", MAGIC).text(folder).select(
+    return spark.read.option("lineSep", MAGIC).text(folder).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("k"), "value")
+
+
+def _header(value: Column) -> tuple[Column, Column]:
+    """Header of a record and the length of its block, NULL if it names none."""
+    head = F.substring_index(value, END * 2, 1)
+    size = F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*([0-9]{1,17})[ \t]*\r?$", 1)
+    return head, F.when(value.contains(END * 2) & (size != ""), size.try_cast("bigint"))
+
+
+def _made(value: Column, make: Callable[[Column, Column], Column]) -> Column:
+    """``make`` of header and block (binary), NULL unless the block is whole in the value."""
+    head, size = _header(value)
+    at = F.octet_length(head) + 2 * len(END)
+    block = F.substring(value.cast("binary"), at + 1, size.cast("int"))
+    return F.when(F.octet_length(value) >= at + size, make(head, block))
+
+
+def candidates(spark: SparkSession, folder: str, make: Callable[[Column, Column], Column]) -> DataFrame:
+    """All rows between magics without their text: place, what ``make`` gives, and the record they may start.
+
+    ``start`` is the offset of the row's magic; ``begin`` that of the candidate it
+    belongs to. A magic that doesn't follow a blank line starts no record, so a
+    header with a magic in it is put together from its rows. ``stop``, in the first
+    row of a candidate, is where the next record starts if this is one, NULL if its
+    header has no length. A magic in a payload may well come out as a candidate.
+    """
+    value = F.col("value")
+    piece = F.when(value.contains(END * 2), F.concat(F.substring_index(value, END * 2, 1), F.lit(END * 2))).otherwise(
+        value)
+    rows = _rows(spark, folder).select(
+        "file", "block", "k", F.octet_length("value").cast("long").alias("n"), F.substring("value", -4, 4).alias("tail"),
+        piece.alias("piece"), _made(value, make).alias("made"))
     w = Window.partitionBy("file").orderBy("block", "k")
     upto = w.rowsBetween(Window.unboundedPreceding, -1)
-    step = F.octet_length("value").cast("long") + len(MAGIC)
-    fresh = F.lag(F.substring("value", -4, 4)).over(w)
-    rows = rows.select(
-        "file", "block", "k", "value", (F.coalesce(F.sum(step).over(upto), F.lit(0)) - len(MAGIC)).alias("start"),
-        (F.coalesce(fresh, F.lit("")).isin("", END * 2)).cast("int").alias("fresh"))
-    rows = rows.where("start >= 0").withColumn("n", F.sum("fresh").over(
-        Window.partitionBy("file").orderBy("start")))
-    whole = rows.groupBy("file", "n").agg(
-        F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct("start", "value"))).alias("v"))
-    value = F.array_join(F.transform("v", lambda v: v["value"]), MAGIC)
-    head = F.substring_index("value", END * 2, 1)
-    length = F.regexp_extract(head, r"(?im)^Content-Length:\s*(\d+)\s*$", 1)
-    real = F.col("value").contains(END * 2) & (F.length(length) > 0) & (F.length(length) < 18)
-    stop = F.when(real, F.col("start") + len(MAGIC) + F.octet_length(head) + F.try_to_number(
-        length, F.lit("9" * 17)).cast("long") + 4 * len(END))
-    return whole.select("file", "start", value.alias("value")).withColumn("stop", stop)
+    start = F.coalesce(F.sum(F.col("n") + len(MAGIC)).over(upto), F.lit(0)) - len(MAGIC)
+    after_blank = F.coalesce(F.lag("tail").over(w), F.lit("")).isin("", END * 2)
+    rows = rows.withColumn("start", start).withColumn("fresh", after_blank).where("start >= 0")
+    begin = F.last(F.when(F.col("fresh"), F.col("start")), ignorenulls=True).over(w)
+    rows = rows.withColumn("begin", begin)
+    pieces = F.sort_array(F.collect_list(F.struct("start", "piece")).over(Window.partitionBy("file", "begin")))
+    head, size = _header(F.array_join(F.transform(pieces, lambda v: v["piece"]), MAGIC))
+    first = F.col("start") == F.col("begin")
+    return rows.withColumn("stop", F.when(first, F.col("start") + len(MAGIC) + F.octet_length(head)
+                                          + size + 4 * len(END))).select(
+        "file", "block", "k", "start", "begin", "stop", F.when(first, F.col("made")).alias("made"))
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -136,20 +162,32 @@ def reachable(links: DataFrame) -> DataFrame:
     return got
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """``file``, ``start``, ``head`` and ``block`` (binary) of every true record."""
-    found = written(candidates(spark, folder))
-    true = reachable(found.select("file", "start", "stop")).withColumn("true", F.col("start"))
-    both = found.join(true, ["file", "start"], "left")
-    owner = F.last("true", ignorenulls=True).over(Window.partitionBy("file").orderBy("start"))
-    parts = both.withColumn("owner", owner).groupBy("file", "owner").agg(
+def read_archives(spark: SparkSession, folder: str,
+                  make: Callable[[Column, Column], Column] = lambda head, block: F.struct(
+                      head.alias("head"), block.alias("block"))) -> DataFrame:
+    """``file``, ``start`` and ``made`` (of header and block) of every true record.
+
+    ``make`` runs in the scan on whatever may be a record, so blocks don't travel.
+    Only blocks with a magic inside, which lie in several rows, are put together
+    from a second reading.
+    """
+    found = written(candidates(spark, folder, make))
+    true = reachable(found.where("start = begin").select("file", "start", "stop"))
+    records = written(found.join(true, ["file", "start"], "left_semi").select("file", "start", "made"))
+    whole = records.where(F.col("made").isNotNull())
+    broken = records.where(F.col("made").isNull()).select("file", F.col("start").alias("owner"))
+    if not broken.limit(1).count():
+        return whole
+    owners = found.select("file", "block", "k", "start").join(
+        records.select("file", "start", F.lit(True).alias("true")), ["file", "start"], "left").withColumn(
+        "owner", F.last(F.when(F.col("true"), F.col("start")), ignorenulls=True).over(
+            Window.partitionBy("file").orderBy("start"))).join(broken, ["file", "owner"], "left_semi")
+    parts = _rows(spark, folder).join(owners.drop("true"), ["file", "block", "k"]).groupBy("file", "owner").agg(
         F.sort_array(F.collect_list(F.struct("start", "value"))).alias("v"))
     value = F.array_join(F.transform("v", lambda v: v["value"]), MAGIC)
-    records = parts.where("owner is not null").select("file", F.col("owner").alias("start"), value.alias("value"))
-    head = F.substring_index("value", END * 2, 1)
-    size = F.regexp_extract(head, r"(?im)^Content-Length:\s*(\d+)\s*$", 1).cast("int")
-    block = F.substring(F.col("value").cast("binary"), F.octet_length(head) + 2 * len(END) + 1, size)
-    return records.select("file", "start", head.alias("head"), block.alias("block"))
+    again = parts.select("file", F.col("owner").alias("start"), value.alias("value")).select(
+        "file", "start", _made(F.col("value"), make).alias("made"))
+    return whole.unionByName(again)
 
 
 def _value(head: Column, name: str) -> Column:
@@ -157,33 +195,36 @@ def _value(head: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
-def page_records(records: DataFrame) -> DataFrame:
-    """Page, payload and kind of response and revisit records.
+def page_record(head: Column, block: Column) -> Column:
+    """Page, payload and kind of a record, as a struct.
 
     Size and digest of a response are taken from its payload as read, those of a
     revisit from its headers.
     """
-    text = F.col("block").cast("string")
-    http = F.substring_index(text, END * 2, 1)
-    payload = F.substring(F.col("block"), F.octet_length(http) + 2 * len(END) + 1, F.octet_length("block"))
-    kind = _value(F.col("head"), "WARC-Type")
-    rows = records.select(
-        _value(F.col("head"), "X-Page-ID").cast("long").alias("page_id"), kind.alias("record_type"),
-        _value(F.col("head"), "X-Refers-To-Page-ID").cast("long").alias("refers_to"),
-        F.substring_index(_value(F.col("head"), "WARC-Payload-Digest"), ":", -1).alias("named"),
-        _value(http, "Content-Length").cast("long").alias("size"), payload.alias("payload"))
-    first = F.col("record_type") == "response"
-    return rows.where(F.col("record_type").isin("response", "revisit")).select(
-        "page_id", F.when(first, F.octet_length("payload").cast("long")).otherwise(F.col("size")).alias("payload_bytes"),
-        F.when(first, base32_sha1(F.col("payload"))).otherwise(F.col("named")).alias("payload_digest"),
-        "record_type", "refers_to")
+    http = F.substring_index(block.cast("string"), END * 2, 1)
+    payload = F.substring(block, F.octet_length(http) + 2 * len(END) + 1, F.octet_length(block))
+    kind = _value(head, "WARC-Type")
+    first = kind == "response"
+    named = F.substring_index(_value(head, "WARC-Payload-Digest"), ":", -1)
+    return F.struct(
+        _value(head, "X-Page-ID").try_cast("bigint").alias("page_id"),
+        F.when(first, F.octet_length(payload).cast("long")).otherwise(
+            _value(http, "Content-Length").try_cast("bigint")).alias("payload_bytes"),
+        F.when(first, base32_sha1(payload)).otherwise(named).alias("payload_digest"),
+        kind.alias("record_type"), _value(head, "X-Refers-To-Page-ID").try_cast("bigint").alias("refers_to"))
+
+
+def read_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages of response and revisit records; other records are left out."""
+    return read_archives(spark, folder, page_record).select("made.*").where(
+        F.col("record_type").isin("response", "revisit"))
 
 
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     """A NULL html is an empty payload. Pages may repeat: every row is a record."""
     archives = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(read_table(spark, folder, "pages"), archives)
-    return page_records(read_archives(spark, archives))
+    return read_pages(spark, archives)
 
 
 OP4_SQL = f"""
