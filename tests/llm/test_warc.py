@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import tempfile
 from collections import Counter
 
@@ -36,3 +37,22 @@ def test_chain_leaves_out_what_is_not_reached(spark):
     links = spark.createDataFrame([("f", 0, 10), ("f", 10, 30), ("f", 15, 30), ("f", 30, 99), ("g", 5, 9)],
                                   "file string, start long, stop long")
     assert sorted(tuple(r) for r in warc.reachable(links).collect()) == [("f", 0), ("f", 10), ("f", 30)]
+
+
+def test_chain_over_cells_of_any_size(spark):
+    rng = random.Random(3)
+    links, want = [], set()
+    for file in "abc":
+        starts = sorted({0, *(rng.randrange(4000) for _ in range(300))})
+        ends = {s: rng.choice([t for t in starts if t > s][:4] or [5000]) for s in starts}
+        ends[starts[7]] = None
+        ends[starts[9]] = starts[2]
+        links += [(file, s, e) for s, e in ends.items()]
+        at = 0
+        while at in ends:
+            want.add((file, at))
+            at = ends[at] if (ends[at] or 0) > at else None
+    frame = spark.createDataFrame(links, "file string, start long, stop long")
+    for size in (1, 64, 1000, 1 << 20):
+        got = [tuple(r) for r in warc.reachable(frame, size).collect()]
+        assert len(got) == len(set(got)) and set(got) == want

@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from voxtab.sources.catalog import shared_folder
 
 #: Records in one archive file, at most.
 FILE_RECORDS = 20_000
+#: Bytes of a file whose candidates are chained in one group; between groups pointers jump.
+CELL_BYTES = 4 << 20
 MAGIC = "WARC/1."
 VERSION = f"{MAGIC}1"
 END = "\r\n"
@@ -140,26 +144,66 @@ def candidates(spark: SparkSession, folder: str, make: Callable[[Column, Column]
         "file", "block", "k", "start", "begin", "stop", F.when(first, F.col("made")).alias("made"))
 
 
-def reachable(links: DataFrame) -> DataFrame:
+def _inside(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of a cell's records in order, their stops, and the number of the next record in the cell or -1."""
+    rows = rows.sort_values("start")
+    starts, stops = rows["start"].to_numpy(np.int64), rows["stop"].to_numpy(np.int64)
+    at = np.searchsorted(starts, stops)
+    hit = starts[np.minimum(at, len(starts) - 1)] == stops
+    return starts, stops, np.where(hit, at, -1)
+
+
+def _exits(rows: pd.DataFrame) -> pd.DataFrame:
+    """Where the chain from each record of a cell leaves the cell."""
+    starts, stops, onward = _inside(rows)
+    out = stops.tolist()
+    for i in range(len(out) - 1, -1, -1):
+        if onward[i] >= 0:
+            out[i] = out[onward[i]]
+    return pd.DataFrame({"file": rows["file"].iloc[0], "start": starts, "stop": out})
+
+
+def _walk(rows: pd.DataFrame) -> pd.DataFrame:
+    """The records of a cell on the chain from ``entry``."""
+    starts, _, onward = _inside(rows)
+    i, got = int(np.searchsorted(starts, rows["entry"].iloc[0])), []
+    while i >= 0:
+        got.append(starts[i])
+        i = int(onward[i])
+    return pd.DataFrame({"file": rows["file"].iloc[0], "start": np.array(got, np.int64)})
+
+
+def reachable(links: DataFrame, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """``file`` and ``start`` of the records on the chain that begins at offset 0 of each file.
 
-    Pointer jumping: in each round what is reached also reaches the ends of its
-    jumps, and every jump becomes two in a row. The rounds number the logarithm of
-    the records of a file. Links into nowhere end a chain.
+    Files are cut in cells of ``cell_bytes``. Within a cell every candidate's jumps
+    are followed to where they leave it. Between cells pointers jump: in each round
+    what is reached also reaches the ends of its jumps, and every jump becomes two
+    in a row, so the rounds number the logarithm of the cells of a file. The chain
+    enters a cell once at most; the records after that entry are read off inside.
+    Links into nowhere end a chain.
     """
-    jumps = links.where("stop > start")
-    nodes = links.select("file", F.col("start").alias("stop"))
-    jumps = written(jumps.join(nodes, ["file", "stop"], "left_semi").select("file", "start", "stop"))
-    got = written(links.where("start = 0").select("file", "start"))
-    size, before = got.count(), -1
-    while size > before:
+    cells = links.select("file", "start", F.when(F.col("stop") > F.col("start"), F.col("stop")).otherwise(
+        F.lit(-1)).cast("long").alias("stop"), F.expr(f"start div {cell_bytes}").alias("cell"))
+    exits = written(cells.groupBy("file", "cell").applyInPandas(_exits, "file string, start long, stop long"))
+    entered = exits.select("file", F.col("stop").alias("start")).distinct()
+    jumps = written(exits.where("start = 0").unionByName(
+        exits.where("start > 0").join(entered, ["file", "start"], "left_semi")))
+    got = jumps.where("start = 0").select("file", "start")
+    size = got.count()
+    while True:
         ends = jumps.join(got, ["file", "start"], "left_semi").select("file", F.col("stop").alias("start"))
+        ends = ends.join(jumps.select("file", "start"), ["file", "start"], "left_semi")
         got = written(got.unionByName(ends).distinct())
         before, size = size, got.count()
+        if size == before:
+            break
         onward = jumps.select("file", F.col("start").alias("stop"), F.col("stop").alias("far"))
-        jumps = written(jumps.join(onward, ["file", "stop"]).select(
-            "file", "start", F.col("far").alias("stop")))
-    return got
+        jumps = written(jumps.join(onward, ["file", "stop"], "left").select(
+            "file", "start", F.coalesce("far", F.lit(-1)).alias("stop")))
+    entries = got.select("file", F.expr(f"start div {cell_bytes}").alias("cell"), F.col("start").alias("entry"))
+    return cells.join(entries, ["file", "cell"]).groupBy("file", "cell").applyInPandas(
+        _walk, "file string, start long")
 
 
 def read_archives(spark: SparkSession, folder: str,
