@@ -14,17 +14,18 @@ from voxtab.llm.common import (
     WORD_BYTES, as_column, chunks_of, documents, out_batch, read_table, schema_with, words_of, written)
 from voxtab.llm.fm_index import FMIndex
 
-WINDOWWORD_BYTES = 10
+WINDOW_WORDS = 10
 #: Bytes of documents in one shard, that is in one index. A longer document is its own shard.
 SHARD_BYTES = 8 << 20
 #: Bytes of benchmark texts searched for in one pass over the documents. A larger
 #: benchmark is searched in several passes.
 BLOCK_BYTES = 16 << 20
 
+
 class Windows:
     """The distinct windows of some items as rows of word numbers (2 and up)."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOWWORD_BYTES):
+    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW_WORDS):
         self.number: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], dict[int, None]] = {}
         self.names = [name for name, _ in items]
@@ -96,7 +97,7 @@ _FOUND = "n_words long, spans array<struct<begin:long,end:long>>, items array<st
 
 
 def occurrences(df: DataFrame, benchmark: DataFrame, id_col: Column | str = "doc_id",
-                text_col: str = "text", window: int = WINDOWWORD_BYTES,
+                text_col: str = "text", window: int = WINDOW_WORDS,
                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``id``, ``n_words``, ``spans`` and ``items`` of every row of ``df``.
 
