@@ -53,16 +53,27 @@ def _raw_parts(text: Column, k: int) -> Column:
         F.length(s["v"]).alias("value")))
 
 
+def _wanted(text: Column, k: int) -> Column:
+    """Whether a kind is looked for in a text: it is there, and so are its other parts."""
+    kind, _, pattern, _, _ = KINDS[k]
+    wanted = text.rlike(pattern)
+    for role in NEEDS.get(kind, []):
+        wanted = _has(text, role) & wanted
+    return wanted
+
+
+def has_parts(text: Column) -> Column:
+    """Whether a text (not NULL) has any part, that is whether it can have a span."""
+    found = _wanted(text, 0)
+    for k in range(1, len(KINDS)):
+        found = found | _wanted(text, k)
+    return found
+
+
 def _scan(text: Column) -> Column:
     """Raw parts of all kinds; weak kinds are looked for only where their other parts are."""
     none = F.array().cast(_PART)
-    parts = []
-    for k, (kind, _, pattern, _, _) in enumerate(KINDS):
-        wanted = text.rlike(pattern)
-        for role in NEEDS.get(kind, []):
-            wanted = _has(text, role) & wanted
-        parts.append(F.when(wanted, _raw_parts(text, k)).otherwise(none))
-    return F.concat(*parts)
+    return F.concat(*[F.when(_wanted(text, k), _raw_parts(text, k)).otherwise(none) for k in range(len(KINDS))])
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -134,9 +145,13 @@ def secrets_summary(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def redacted(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The same rows and columns with every span of a text replaced by a mark; overlapping spans are one."""
+    """The same rows and columns with every span of a text replaced by a mark; overlapping spans are one.
+
+    Texts without any part stay where they are; only the others are joined to their spans.
+    """
     row, cut = free_name(df, "_row"), free_name(df, "_spans")
-    kept = written(df.withColumn(row, F.monotonically_increasing_id()))
+    parts = has_parts(F.coalesce(F.col(text_col), F.lit("")))
+    kept = written(df.where(parts).withColumn(row, F.monotonically_increasing_id()))
     ids, spans = find_secrets(kept, row, text_col)
     along = Window.partitionBy("_row").orderBy("start", "end")
     before = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
@@ -156,7 +171,7 @@ def redacted(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     done = F.concat(F.array_join(F.concat(F.transform(spots, gap), F.array(F.lit(""))), mark), tail)
     changed = kept.join(lists, row, "left").withColumn(
         text_col, F.when(spots.isNull(), text).otherwise(done))
-    return changed.select(*[F.col(f"`{c}`") for c in df.columns])
+    return df.where(~parts).union(changed.select(*[F.col(f"`{c}`") for c in df.columns]))
 
 
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:

@@ -153,14 +153,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     come out as often as they came in. An empty table gives an empty one.
     """
     own = written(fingerprints(df, id_col, text_col))
-    nodes = written(own.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
-    groups = nodes.join(linked(nodes.select("fp")), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp"))
+    groups = _groups(own)
     names = groups.groupBy("component").agg(F.min("first").alias("name"))
     named = groups.join(names, "component").select("fp", "n", F.col("name").alias("component"))
     return split_join(own, written(named), ["fp"], "n").select("id", "fp", "component")
 
 
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``: the smallest id of each component, one row per component."""
+    groups = _groups(written(fingerprints(df, id_col, text_col)))
+    return groups.groupBy("component").agg(F.min("first").alias("id")).select("id")
+
+
+def _groups(own: DataFrame) -> DataFrame:
+    """``fp``, its smallest id ``first``, its number of rows ``n`` and ``component`` (a fingerprint)."""
+    nodes = written(own.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    return nodes.join(linked(nodes.select("fp")), "fp", "left").withColumn(
+        "component", F.coalesce("component", "fp"))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(documents(spark, folder))
     return found.select(
