@@ -31,14 +31,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: that with the smallest doc_id (NULL last), then the first row."""
-    row = free_name(docs, "_row")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
-    groups = simhash.near_duplicates(rows, row)
-    ids = rows.select(F.col(row).alias("id"), "doc_id").join(groups, "id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "id"))
-    kept = ids.groupBy("component").agg(first.alias("first")).select(F.col("first.id").alias(row))
-    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Keep one document of each group: that with the smallest doc_id (NULL last), then the smallest digest.
+
+    Rows are told apart by a digest of all their columns, so texts are shuffled
+    once, to meet the digests that stay. Rows alike in every column are one.
+    """
+    key, name = free_name(docs, "_key"), free_name(docs, "_name")
+    keyed = docs.withColumn(key, F.sha2(F.to_json(whole_row(docs)).cast("binary"), 256))
+    named = keyed.withColumn(name, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(key).alias("key")))
+    kept = simhash.representatives(named, name).select(F.col("id.key").alias(key))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
