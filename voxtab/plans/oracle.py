@@ -234,14 +234,13 @@ col_parts AS (SELECT *, CASE WHEN {_NAMED} THEN 0.5 ELSE 0.0 END AS ns,
   CASE WHEN sp > 0.7 THEN 0.2 WHEN sp > 0.3 THEN 0.1 ELSE 0.0 END AS ss FROM col_stats),
 col_scores AS (SELECT *, least(ns + ls + ss, 1.0) AS confidence FROM col_parts)"""
 
-# --- reports: Markdown texts made from the assistant turns ------------------------------------
+# --- reports: Markdown texts made from all turns ----------------------------------------------
 
 REPORTS = r"""reports AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)
   AS attempt, '  ```markdown' || chr(10) || '# Conversation ' || conv_id || chr(10) || '## **Turn '
   || turn || '**' || chr(10) || text || chr(10) || chr(10) || chr(10) || chr(10)
   || '### Next __steps__' || chr(10) || CASE WHEN length(text) > 400 THEN 'We recommend more.'
-  ELSE 'None.' END || chr(10) || '```' || chr(10) AS md FROM conversations
-  WHERE role = 'assistant')"""
+  ELSE 'None.' END || chr(10) || '```' || chr(10) AS md FROM conversations)"""
 
 CLEAN_MD = r"""clean_md AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   trim(md, ' ' || chr(9) || chr(10) || chr(13)), '^```markdown\n', ''), '\n```$', ''),

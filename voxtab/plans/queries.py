@@ -656,8 +656,7 @@ def _clean_reports(turns: DataFrame) -> DataFrame:
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
-    turns = K.read_table(spark, d, "conversations").where(F.col("role") == "assistant")
-    return turns.select("conv_id", "turn", "text")
+    return K.read_table(spark, d, "conversations").select("conv_id", "turn", "text")
 
 
 @query(O.with_(O.REPORTS, O.CLEAN_MD, body="SELECT conv_id, turn, body FROM clean_md"))
