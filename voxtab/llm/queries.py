@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from voxtab.llm.bpe import op7_byte_bpe
 from voxtab.llm.decontaminate import OP2_SQL, op2_decontaminate
+from voxtab.llm.importance import OP13_SQL, op13_importance
 from voxtab.llm.language import op1_language
 from voxtab.llm.licenses import op5_licenses
 from voxtab.llm.secrets import op6_secrets
@@ -24,9 +25,11 @@ QUERIES = {q.__name__: q for q in (
     op8_toxicity,
     op9_spotsigs,
     op10_suffix_array,
+    op13_importance,
 )}
 
 ORACLE = {
     "op2_decontaminate": OP2_SQL,
     "op4_warc": OP4_SQL,
+    "op13_importance": OP13_SQL,
 }
