@@ -147,11 +147,15 @@ def secrets_summary(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def redacted(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns with every span of a text replaced by a mark; overlapping spans are one.
 
-    Texts without any part stay where they are; only the others are joined to their spans.
+    All texts are searched once and written with what that told; those without any
+    part are read back as they are, only the others are joined to their spans. NULL and
+    empty texts stay. Ids aren't looked at; repeated rows are each redacted. An empty
+    table stays empty.
     """
-    row, cut = free_name(df, "_row"), free_name(df, "_spans")
-    parts = has_parts(F.coalesce(F.col(text_col), F.lit("")))
-    kept = written(df.where(parts).withColumn(row, F.monotonically_increasing_id()))
+    row, cut, flag = free_name(df, "_row"), free_name(df, "_spans"), free_name(df, "_flag")
+    marked = written(df.withColumn(flag, has_parts(F.coalesce(F.col(text_col), F.lit("")))).withColumn(
+        row, F.monotonically_increasing_id()))
+    kept = marked.where(F.col(flag))
     ids, spans = find_secrets(kept, row, text_col)
     along = Window.partitionBy("_row").orderBy("start", "end")
     before = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
@@ -171,7 +175,7 @@ def redacted(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     done = F.concat(F.array_join(F.concat(F.transform(spots, gap), F.array(F.lit(""))), mark), tail)
     changed = kept.join(lists, row, "left").withColumn(
         text_col, F.when(spots.isNull(), text).otherwise(done))
-    return df.where(~parts).union(changed.select(*[F.col(f"`{c}`") for c in df.columns]))
+    return marked.where(~F.col(flag)).drop(flag, row).union(changed.select(*[F.col(f"`{c}`") for c in df.columns]))
 
 
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
