@@ -6,7 +6,7 @@ import base64
 import hashlib
 import heapq
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +74,17 @@ class Merges:
             for s, packed in own:
                 self.slots[(s + shift) % size] = packed
 
+    def column(self) -> Column:
+        """The literal rank map as a struct of arrays.
+
+        It is a one-row table of some 2 MB in the shared folder, read as a scalar, so
+        that the texts of plans, which the driver makes at every step, don't hold it.
+        """
+        spark = SparkSession.getActiveSession()
+        lists = [pa.array([self.slots], pa.list_(pa.int64())), pa.array([self.shifts], pa.list_(pa.int32()))]
+        table = spark.createDataFrame(pa.table(lists, names=["slots", "shifts"]))
+        return written(table.select(F.struct("slots", "shifts").alias("tables"))).scalar()
+
     def _shift_at(self, key: np.ndarray) -> np.ndarray:
         return (key * 1640531527 >> 27) & ((1 << self.bits - 3) - 1)
 
@@ -81,21 +92,19 @@ class Merges:
         return (key * self.factor >> 25) & ((1 << self.bits) - 1)
 
 
-def _numbers(values: list[int], kind: str) -> Column:
-    """A literal array: the text of the numbers, which is parsed once when the plan is made."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+def with_tables(df: DataFrame, merges: Merges, name: str, value: Callable[[Column], Column]) -> DataFrame:
+    """Set a column to a value that needs the rank map; the plan takes the scalar into the value, so rows don't carry it."""
+    return df.withColumn("_tables", merges.column()).withColumn(name, value(F.col("_tables"))).drop("_tables")
 
 
-def folded(word: Column, merges: Merges) -> Column:
+def folded(word: Column, merges: Merges, tables: Column) -> Column:
     """Token ids of a word given as the ids of its bytes (an array of ints).
 
     The leftmost pair of lowest rank is merged, again and again. The state of the
     fold is the token ids, the rank of every neighbouring pair, the lowest of these
     and its place; a merge looks up two new pairs only. NULL gives NULL, no bytes
-    give no ids.
+    give no ids. tables: the rank map, as ``Merges.column`` has it.
     """
-    tables = F.array(F.struct(_numbers(merges.slots, "bigint").alias("slots"),
-                              _numbers(merges.shifts, "int").alias("shifts")))
     low_bits, slot_bits = (1 << merges.bits - 3) - 1, (1 << merges.bits) - 1
 
     def joined(*parts):
@@ -130,7 +139,7 @@ def folded(word: Column, merges: Merges) -> Column:
         return F.aggregate(w, first, lambda s, _: F.when(s["low"] < NO_RANK, merge(t, s)).otherwise(s),
                            lambda s: s["ids"])
 
-    return F.when(F.size(word) > 1, F.transform(tables, lambda t: fold(t, word))[0]).otherwise(word)
+    return F.when(F.size(word) > 1, let(tables, lambda t: fold(t, word))).otherwise(word)
 
 
 def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -212,8 +221,9 @@ def hot_words(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
             yield out_batch(batch, ["word"], bytes=byte_ids(batch.column(0), single))
 
     hot = often.where(F.col("class") >= (least if least < math.inf else 1 << 30)).select("word")
-    return hot.mapInArrow(start, "word string, bytes array<int>").select(
-        "word", folded(F.col("bytes"), vocabulary.merges).alias("ids")).toArrow()
+    started = hot.mapInArrow(start, "word string, bytes array<int>")
+    return with_tables(started, vocabulary.merges, "ids", lambda t: folded(
+        F.col("bytes"), vocabulary.merges, t)).select("word", "ids").toArrow()
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -321,7 +331,8 @@ def _encode(df, vocabulary, id_col, text_col, hot, finish, out):
 
     chunks = cols.mapInArrow(look_up, f"id array<{kind}>, sizes binary, codes binary, at binary, "
                                       "hot array<array<int>>, cold array<array<int>>, long array<array<int>>")
-    done = chunks.withColumn("cold", F.transform("cold", lambda w: folded(w, vocabulary.merges)))
+    done = with_tables(chunks, vocabulary.merges, "cold", lambda t: let(t, lambda own: F.transform(
+        "cold", lambda w: folded(w, vocabulary.merges, own))))
     return done.mapInArrow(put_together, f"id {kind}, {out}")
 
 
