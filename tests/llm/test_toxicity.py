@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from voxtab.llm import gru, toxicity
@@ -37,16 +38,17 @@ def test_windows_cover_texts():
         assert places == set(range(n)) and len(text) == (max(0, -(-(n - 40) // 20)) + 1 if n else 0)
 
 
-def test_finds_planted_words_in_long_texts():
-    r = np.random.default_rng(0)
+@pytest.mark.parametrize("seed", range(5))
+def test_finds_planted_words_in_long_texts(seed):
+    r = np.random.default_rng(seed)
     word = lambda: "".join(r.choice(list("aeioulnrst"), 5))
     texts = [" ".join(word() for _ in range(60)).split() for _ in range(300)]
     y = np.arange(300) % 2
     for k in np.flatnonzero(y):
         texts[k][r.integers(60)] = "zzgrumpf"
     texts = [" ".join(t).encode() for t in texts]
-    m = gru.Gru()
-    m.train(texts[:240], y[:240])
+    m = gru.Gru(seed)
+    m.train(texts[:240], y[:240], seed)
     assert (((m.scores(texts[240:]) >= 0.5) == y[240:]).mean()) > 0.9
     assert m.scores([b"", b"  "]).tolist() == [0, 0]
 

@@ -13,6 +13,9 @@ from voxtab.llm.common import words_of
 WINDOW, STRIDE = 40, 20
 WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM = 1 << 14, 1 << 14, 8, 16
 HIDDEN, ATTENTION = 10, 8
+#: Parameters of which a step uses few rows.
+TABLES = ("word", "char")
+FLOOR = 0.005
 #: Weights shrink by this times the rate at every step.
 DECAY = 0.02
 #: Windows run at once.
@@ -174,7 +177,12 @@ class Gru:
         return grad
 
     def _update(self, grad: dict, rate: float) -> None:
-        """One step of Adam."""
+        """One step of Adam.
+
+        In a table the second moment of a number is at least ``FLOOR`` of the largest.
+        Otherwise a word of a single text would move as far as one that all texts with a
+        label share, and the network would learn its texts by heart.
+        """
         if not hasattr(self, "_m"):
             self._m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
             self._n = 0
@@ -183,17 +191,19 @@ class Gru:
             m, v = self._m[k]
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
+            spread = np.maximum(v, FLOOR * v.max()) if k in TABLES else v
             self.p[k] = (self.p[k] * (1 - rate * DECAY) - rate * (m / (1 - 0.9 ** self._n)) / (
-                np.sqrt(v / (1 - 0.999 ** self._n)) + 1e-8)).astype(np.float32)
+                np.sqrt(spread / (1 - 0.999 ** self._n)) + 1e-8)).astype(np.float32)
 
     def train(self, texts: list[bytes], label: np.ndarray, seed: int = 0, first: int = 3, more: int = 8,
-              batch: int = 512, rate: float = 0.01) -> None:
+              batch: int = 512, least_steps: int = 8, rate: float = 0.01) -> None:
         """Learn from labelled texts.
 
         First every window takes its text's label. Then a text is judged by its
         highest window: that window of a text labelled 1 is taught as 1; of a text
         labelled 0 the highest window, all others that score too high and some more
-        are taught as 0.
+        are taught as 0. A step takes ``batch`` windows, fewer if an epoch had less than
+        ``least_steps`` of them.
         """
         words, r = Words(texts), np.random.default_rng(seed)
         text, ids = words.windows()
@@ -215,8 +225,9 @@ class Gru:
             own = r.permutation(own)
             y = label[text[own]]
             weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-            for k in range(0, len(own), batch):
-                part = slice(k, k + batch)
+            size = min(batch, max(32, len(own) // least_steps))
+            for k in range(0, len(own), size):
+                part = slice(k, k + size)
                 self._x = self.inputs(words)
                 self._update(self.gradient(words, ids[own[part]], y[part], weight[part]),
                              rate * (1 if epoch < first + more // 2 else 0.3))
