@@ -134,9 +134,13 @@ def test_long_texts_do_not_stall(spark):
     assert df.where(X.is_spam(F.col("text"))).count() == 0
 
 
-def test_one_scan_and_no_repeated_cleaning(frame):
-    plan = C.clean(frame, "text", "id")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("<[^>]+>") == 1
+def test_one_scan_and_no_repeated_cleaning(spark, frame, tmp_path):
+    frame.write.parquet(str(tmp_path / "in"))
+    stored = spark.read.parquet(str(tmp_path / "in"))
+    staged = C._judged(stored, "text")._jdf.queryExecution().executedPlan().toString()
+    assert staged.count("<[^>]+>") == 1 and staged.count("FileScan") == 1
+    rest = C.clean(stored, "text", "id")._jdf.queryExecution().executedPlan().toString()
+    assert rest.count("<[^>]+>") == 0 and str(tmp_path / "in") not in rest
 
 
 def test_language_guess(spark):

@@ -128,6 +128,30 @@ def test_percentiles_are_values(spark):
     assert (r.p50, r.p95, r.p99, r.error_rate) == (50.0, 95.0, 99.0, 0.0)
 
 
+def test_percentiles_over_many_ranges(spark):
+    """One key has nearly all rows, one has NULL for a name, one has no value; ranges cut keys."""
+    rows = [("a", float(i * i % 9973)) for i in range(6000)] + [(None, float(i)) for i in range(7)] + [("z", None), ("y", 5.0)]
+    df = spark.createDataFrame(rows, "agent string, s double").repartition(9)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("1", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.agent: (r.p50, r.p95, r.p99, r.calls) for r in A.latency_percentiles(df, "agent", "s", F.lit(True)).collect()}
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        a = sorted(float(i * i % 9973) for i in range(6000))
+        assert got == {"a": (a[2999], a[5699], a[5939], 6000), None: (3.0, 6.0, 6.0, 7),
+                       "z": (None, None, None, 1), "y": (5.0, 5.0, 5.0, 1)}
+
+
+def test_grouping_sets_keep_null_keys_apart(spark):
+    df = spark.createDataFrame([("r", None, 1.0), ("r", "s", 2.0), (None, "s", 4.0)], "report string, stage string, cost double")
+    got = {(r.report, r.stage, r.level): (r.calls, r.cost) for r in A.cost_sets(
+        df, [["report", "stage"], ["report"], ["stage"], []]).collect()}
+    assert got == {("r", None, 0): (1, 1.0), ("r", "s", 0): (1, 2.0), (None, "s", 0): (1, 4.0), ("r", None, 1): (2, 3.0),
+                   (None, None, 1): (1, 4.0), (None, None, 2): (1, 1.0), (None, "s", 2): (2, 6.0), (None, None, 3): (3, 7.0)}
+
+
 def test_job_state_ignores_empty_values(spark):
     log = [(1, 1, "queued", 0.0, "Queued", None), (1, 2, "running", 20.0, "", None),
            (1, 3, None, 0.0, "Cleaning", None), (1, 4, "failed", None, None, "boom"),

@@ -69,6 +69,35 @@ def test_only_csv_files_of_a_folder(spark, tmp_path):
     assert df.count() == 24 and df.select("row_id").distinct().count() == 24
 
 
+def test_a_folder_of_different_files(spark, tmp_path):
+    write(tmp_path, "id,text\n1,a\n2,b,c\n3,\"x\ny\"\n", "a.csv")
+    write(tmp_path, "\ufeffid;mood;text\n4;good;\"p;q\"\n5;N/A;r\n6;;s;t\n", "b c.csv")
+    write(tmp_path, "\n\ntext\tid\nz\t7\n", "c.csv")
+    write(tmp_path, "text\nlone\n", "d.csv")
+    write(tmp_path, "\n", "e.csv")
+    table, lines = V.read_csv_folder(spark, str(tmp_path))
+    got = {(r.id, r.text, r.mood) for r in table.collect()}
+    assert got == {("1", "a", None), ("3", "x\ny", None), ("4", "p;q", "good"), ("5", "r", None), ("7", "z", None),
+                   (None, "lone", None)}
+    assert {(r.file.rsplit("/", 1)[1], r.rows, r.skipped) for r in lines.collect()} == {
+        ("a.csv", 2, 1), ("b%20c.csv", 2, 1), ("c.csv", 1, 0), ("d.csv", 1, 0)}
+    assert table.select("row_id").distinct().count() == 6
+    with pytest.raises(ValueError, match="no rows"):
+        (tmp_path / "none").mkdir()
+        write(tmp_path / "none", "\n", "a.csv")
+        V.read_csv_folder(spark, str(tmp_path / "none"))
+
+
+def test_a_repeated_save_replaces(spark, tmp_path):
+    folder = str(tmp_path / "up")
+    K.save_upload(spark.range(3).toDF("n"), folder, "a")
+    K.save_upload(spark.range(5).toDF("n"), folder, "b")
+    for _ in range(2):
+        K.save_upload(spark.range(10, 14).toDF("n"), folder, "a")
+    assert sorted(r.n for r in K.load_upload(spark, folder, "a").collect()) == [10, 11, 12, 13]
+    assert K.load_upload(spark, folder, "b").count() == 5
+
+
 def test_uploads_and_reports(spark, tmp_path):
     df = spark.range(5).withColumn("t", F.concat(F.lit("row\n "), "id"))
     for name in ("u1", "u2"):

@@ -18,6 +18,7 @@ from voxtab.constants import (
 )
 from voxtab.functions.values import py_round
 from voxtab.operators.skew import group_join
+from voxtab.sources.catalog import written
 
 RULE_NAMES = ["sentiment_label", "sentiment_score", "emotion_label", "emotion_confidence",
               "topics_count", "entity_confidence"]
@@ -53,6 +54,18 @@ def cost_rollup(df: DataFrame, keys: Sequence[str], cost: str = "cost") -> DataF
         F.count("*").alias("calls"), F.sum(cost).alias("cost"), F.grouping_id().alias("level"))
 
 
+def cost_sets(df: DataFrame, sets: Sequence[Sequence[str]], cost: str = "cost") -> DataFrame:
+    """calls, cost and mean cost for any sets of keys, in one pass.
+
+    ``level`` is the grouping id over all keys in the order of their first mention: a
+    key's bit is 1 where it is summed over, so a total isn't taken for a NULL key, whose bit is 0.
+    """
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    return df.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(
+        F.count("*").alias("calls"), F.sum(cost).alias("cost"), F.avg(cost).alias("mean_cost"),
+        F.grouping_id().alias("level"))
+
+
 def call_metrics(log: DataFrame, key: str, time_col: str, ok: Column, order_cols: Sequence[str],
                  cost_col: str | None = None) -> DataFrame:
     """Per agent: calls, successes, success rate, time and cost figures, rounded for display."""
@@ -79,8 +92,9 @@ def latency_percentiles(log: DataFrame, key: str, time_col: str, ok: Column,
     """P50, P95, P99 (actual values), calls per second of busy time, error rate.
 
     Exact: equal values of a key are counted before the shuffle, and the percentiles
-    are read off the running counts of distinct values. ``accuracy`` asks for a
-    mergeable sketch of bounded size instead.
+    are read off the running counts of distinct values. These are sorted by ranges of
+    key and value, so one key of any size is spread over tasks. ``accuracy`` asks for
+    a mergeable sketch of bounded size instead.
     """
     calls = F.count("*")
     figures = [calls.alias("calls"),
@@ -94,10 +108,7 @@ def latency_percentiles(log: DataFrame, key: str, time_col: str, ok: Column,
             "calls", "calls_per_second", "error_rate")
     value = F.col(time_col)
     counts = log.where(value.isNotNull()).groupBy(key, value.alias("_v")).agg(calls.alias("_n"))
-    whole = Window.partitionBy(key)
-    upto = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn(
-        "_all", F.sum("_n").over(whole))
+    placed = _running_counts(counts, key)
     found = placed.groupBy(key).agg(*[
         F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * share), F.col("_v"))).alias(name)
         for name, share in shares.items()])
@@ -105,6 +116,22 @@ def latency_percentiles(log: DataFrame, key: str, time_col: str, ok: Column,
         key, *shares, "calls", "calls_per_second", "error_rate")
 
 
+def _running_counts(counts: DataFrame, key: str) -> DataFrame:
+    """Add ``_upto``, the sum of ``_n`` over the values ``_v`` of a key up to this one, and ``_all``, over all.
+
+    A range of the sorted table sums what it has of a key. The ranges of a key, of which
+    there are as many as partitions at most, are summed up in turn and added.
+    """
+    cut = written(counts.orderBy(key, "_v").withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", key).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy("_part", key).agg(F.sum("_n").alias("_sum")).select(
+        "_part", key, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
+        F.sum("_sum").over(Window.partitionBy(key)).alias("_all"))
+    each = cut.withColumn("_upto", F.sum("_n").over(inside))
+    return group_join(each, parts, ["_part", key], "inner").withColumn("_upto", F.col("_upto") + F.col("_before"))
+
+
 def _one_order(df: DataFrame, order_cols: Sequence[str]) -> Column:
     """The order columns as one number where that can be, which a hash aggregate can hold; else a struct.
 

@@ -21,6 +21,7 @@ from voxtab.operators import quality as Q
 from voxtab.operators import report as R
 from voxtab.operators import score as SC
 from voxtab.operators import summarise as U
+from voxtab.operators import trained as TR
 from voxtab.operators.skew import top_k
 from voxtab.plans import oracle as O
 from voxtab.plans.pipeline import analyse
@@ -114,6 +115,42 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return V.read_feedback_csv(spark, folder).drop("row_id")
 
 
+@query("""SELECT doc_id::VARCHAR AS doc_id, lang, text FROM documents""")
+def csv_mixed_folder(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of CSV files of two delimiters and column orders, each read by its own header."""
+    folder = f"{K.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    for part, sep, columns in ((0, ";", ["doc_id", "lang", "text"]), (1, ",", ["text", "doc_id", "lang"])):
+        docs(spark, d).where(F.col("doc_id") % 2 == part).select(*columns).write.mode("append").options(
+            sep=sep, header=True, escape='"', quoteAll=True).csv(folder)
+    return V.read_csv_folder(spark, folder)[0].select("doc_id", "lang", "text")
+
+
+@query("""SELECT doc_id % 2 AS part, count(*) FILTER (doc_id % 3 <> 0) AS rows,
+  count(*) FILTER (doc_id % 3 = 0) AS skipped FROM documents GROUP BY 1""")
+def csv_skipped_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with a cell too many, counted per file and summed by kind of file."""
+    folder = f"{K.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    for part, sep, names in ((0, "\t", ["id", "lang"]), (1, ",", ["id", "language"])):
+        cell = F.concat(F.lit("l"), F.when(F.col("doc_id") % 3 == 0, F.lit(f"{sep}more")).otherwise(F.lit("")))
+        docs(spark, d).where(F.col("doc_id") % 2 == part).select("doc_id", cell).toDF(*names).write.options(
+            sep=sep, header=True, quote="").csv(f"{folder}/kind={part}")
+    part = F.regexp_extract("file", r"kind=([0-9])", 1).cast("long").alias("part")
+    return V.read_csv_folder(spark, f"{folder}/*")[1].groupBy(part).agg(
+        F.sum("rows").alias("rows"), F.sum("skipped").alias("skipped"))
+
+
+@query("""SELECT doc_id, n_chars + CASE WHEN lang IN ('fr', 'de') THEN 0 ELSE 1 END AS n_chars,
+  lang AS upload_id FROM documents""")
+def upload_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """Uploads of all languages, of which two are saved again: those are replaced, the others stay."""
+    folder = f"{K.shared_folder(spark)}/uploads-{uuid.uuid4().hex}"
+    table = K.read_table(spark, d, "documents").select("doc_id", "n_chars", "lang")
+    K.save_uploads(table.withColumn("n_chars", F.col("n_chars") + 1), folder, "lang")
+    for _ in range(2):
+        K.save_uploads(table.where(F.col("lang").isin("fr", "de")), folder, "lang")
+    return spark.read.parquet(folder)
+
+
 # --- B: text column ---------------------------------------------------------------------------
 
 
@@ -394,6 +431,42 @@ def comment_records(spark: SparkSession, d: str) -> DataFrame:
         F.size("entities").cast("long").alias("n_entities"))
 
 
+# --- D3: a scorer that learns --------------------------------------------------------------------
+
+#: Part of the labelled documents, by id, from which nothing is learned.
+HELD_OUT_PART, HELD_OUT_OF = 0, 5
+
+
+def _trained(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with the sentiment of a model of ``labels`` (toxic: negative) and, where known, the true one."""
+    labels = K.read_table(spark, d, "labels").select("doc_id", (1 - F.col("toxic")).alias("good"))
+    table = docs(spark, d).select("doc_id", "text").join(labels, "doc_id", "left")
+    model = TR.fit_scorer(table.where(F.col("doc_id") % HELD_OUT_OF != HELD_OUT_PART), "text", "good")
+    truth = F.when(F.col("good") == 1, "positive").when(F.col("good") == 0, "negative")
+    return TR.sentiment_scorer(model)(table, "text").withColumn("truth", truth)
+
+
+@query()
+def trained_sentiment(spark: SparkSession, d: str) -> DataFrame:
+    return _trained(spark, d).select(
+        "doc_id", "sentiment.label", rounded("sentiment.score").alias("score"), "truth")
+
+
+@query(f"""SELECT count(*) AS scored, count(*) AS whole, count(*) AS likeliest, count(*) AS in_bounds,
+  count(*) FILTER (toxic IS NOT NULL AND doc_id % {HELD_OUT_OF} = {HELD_OUT_PART}) AS held_out
+  FROM documents LEFT JOIN labels USING (doc_id)""")
+def trained_sentiment_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Rows scored; those whose scores sum to 1, name the likeliest label, and lie within bounds; rows held out."""
+    s = F.col("sentiment")
+    values = F.map_values(s["scores"])
+    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    held = F.col("truth").isNotNull() & (F.col("doc_id") % HELD_OUT_OF == HELD_OUT_PART)
+    return _trained(spark, d).agg(
+        F.count("*").alias("scored"), F.count_if(F.abs(total - 1) < 1e-9).alias("whole"),
+        F.count_if((s["scores"][s["label"]] == s["score"]) & (F.array_max(values) == s["score"])).alias("likeliest"),
+        F.count_if(F.forall(values, lambda v: v.between(0, 1))).alias("in_bounds"), F.count_if(held).alias("held_out"))
+
+
 # --- E: summaries --------------------------------------------------------------------------------
 
 _DIST = "SELECT {0} AS label, count(*) AS cnt, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct FROM scored GROUP BY {0}"
@@ -820,6 +893,17 @@ def cost_rollup(spark: SparkSession, d: str) -> DataFrame:
         "cost", F.round("cost", 9))
 
 
+@query(O.with_(_COSTED_SQL, body="""SELECT conv_id, stage, count(*) AS calls, round(sum(cost), 9) AS cost,
+  round(avg(cost), 9) AS mean_cost, grouping(conv_id, stage) AS level
+  FROM (SELECT *, CASE WHEN turn > 0 THEN role END AS stage FROM costed)
+  GROUP BY GROUPING SETS ((conv_id, stage), (conv_id), (stage), ())"""))
+def cost_by_report_and_stage(spark: SparkSession, d: str) -> DataFrame:
+    """Costs of conversations, of stages (NULL for first turns), of both and in total, in one pass."""
+    calls = _costed(spark, d).withColumn("stage", F.when(F.col("turn") > 0, F.col("role")))
+    return A.cost_sets(calls, [["conv_id", "stage"], ["conv_id"], ["stage"], []]).withColumns(
+        {c: F.round(c, 9) for c in ("cost", "mean_cost")})
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return K.read_table(spark, d, "events")
 
@@ -856,6 +940,17 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
         rounded("error_rate"))
 
 
+@query("""SELECT n_distinct, quantile_disc(x, 0.5) AS p50, quantile_disc(x, 0.95) AS p95,
+  quantile_disc(x, 0.99) AS p99, count(*) AS calls FROM (SELECT l_extendedprice::DOUBLE AS x,
+  'all' AS n_distinct FROM lineitem) GROUP BY 1""")
+def percentiles_of_one_key(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles of all prices: one key owns every row and spans many tasks."""
+    prices = K.read_table(spark, d, "lineitem").select(
+        F.lit("all").alias("n_distinct"), F.col("l_extendedprice").cast("double").alias("x"))
+    return A.latency_percentiles(prices, "n_distinct", "x", F.lit(True)).select(
+        "n_distinct", "p50", "p95", "p99", "calls")
+
+
 @query("""SELECT rule, failing, checked FROM (SELECT count(*) AS checked,
   count(*) FILTER (NOT coalesce(value BETWEEN 0 AND 100, false)) AS a,
   count(*) FILTER (NOT coalesce(event_type IN ('click', 'view', 'purchase'), false)) AS b

@@ -64,15 +64,18 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 
 def save_upload(df: DataFrame, folder: str, upload_id: str) -> None:
-    """Add a table to the upload catalog, one folder per upload."""
-    df.withColumn("upload_id", F.lit(upload_id)).write.mode("append").partitionBy(
-        "upload_id").parquet(folder)
+    """Put a table into the upload catalog, one folder per upload; a repeated save replaces the upload."""
+    save_uploads(df.withColumn("upload_id", F.lit(upload_id)), folder, "upload_id")
 
 
 def save_uploads(df: DataFrame, folder: str, id_col: str) -> None:
-    """Add many uploads at once, told apart by a column."""
-    df.withColumnRenamed(id_col, "upload_id").write.mode("append").partitionBy(
-        "upload_id").parquet(folder)
+    """Put many uploads at once, told apart by a column.
+
+    Of the catalog only the folders of uploads in ``df`` are replaced, after all of it
+    has been written, so a job that is repeated or fails half way leaves one version of each.
+    """
+    df.withColumnRenamed(id_col, "upload_id").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(folder)
 
 
 def load_upload(spark: SparkSession, folder: str, upload_id: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,3 +89,53 @@ def read_feedback_csv(spark: SparkSession, path: str, sep: str | None = None,
     if min_rows is not None:
         check_rows(df, min_rows, max_rows)
     return df
+
+
+def file_heads(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` and ``header``: the first line with content of each ``*.csv`` file under a path.
+
+    One pass over the lines; each file sends one line from each task that reads its beginning.
+    """
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    first = lines.where((F.col("start") == 0) & (F.trim("value") != ""))
+    return first.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+
+
+def dialects(spark: SparkSession, path: str) -> dict[tuple[str, tuple[str, ...]], list[str]]:
+    """The files of a folder by delimiter and column names. The driver gets the name and header of each file."""
+    groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    for r in sorted(file_heads(spark, path).collect()):
+        header = r.header.lstrip("\ufeff")
+        sep = sniff_delimiter(header)
+        groups.setdefault((sep, tuple(column_names(header, sep))), []).append(unquote(r.file))
+    if not groups:
+        raise ValueError("Could not parse CSV file: no rows")
+    return groups
+
+
+def read_csv_folder(spark: SparkSession, path: str, multi_line: bool = True, id_col: str = "row_id",
+                    file_col: str = "file") -> tuple[DataFrame, DataFrame]:
+    """All-string table of ``*.csv`` files that may differ in delimiter and columns, and the lines skipped in each.
+
+    Each file is read by its own header: files alike in delimiter and columns are one
+    scan, and scans are united by column name; a column that a file lacks is NULL.
+    Rows, their missing values and ids are as ``read_feedback_csv`` has them;
+    ``file_col`` names a row's file. The second table has ``file_col``, ``rows`` and
+    ``skipped`` (rows with more cells than the header) of every file with rows. Files
+    of blanks alone have neither rows nor header.
+    """
+    parts, counts = [], []
+    for (sep, names), files in dialects(spark, path).items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, OVERFLOW]])
+        raw = spark.read.schema(schema).options(
+            sep=sep, header=True, quote='"', escape='"', multiLine=multi_line, enforceSchema=True,
+            nullValue="\u0000", maxCharsPerColumn=-1).csv(files).withColumn(file_col, F.col("_metadata.file_path"))
+        counts.append(raw.groupBy(file_col).agg(
+            F.count_if(F.col(OVERFLOW).isNull()).alias("rows"), F.count(OVERFLOW).alias("skipped")))
+        cells = [F.when(~F.col(f"`{n}`").isin(*NA_TOKENS), F.col(f"`{n}`")).alias(n) for n in names]
+        parts.append(raw.where(F.col(OVERFLOW).isNull()).select(file_col, *cells))
+    table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return (table.withColumn(id_col, F.monotonically_increasing_id()),
+            reduce(lambda a, b: a.unionByName(b), counts))
