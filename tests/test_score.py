@@ -262,3 +262,20 @@ def test_ids_near_the_top_of_the_range(spark):
     s = SC.score(df, "text")
     assert U.entity_summary(s, "text", "id").first().cnt == 3
     assert U.topic_summary(s, "text", "id").first().cnt == 3
+
+
+def test_cached_scores_run_once_per_text(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(texts):
+        calls.add(texts.count())
+        return texts.withColumn("size", F.length("text"))
+
+    one = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, None), (5, "")], "id long, text string")
+    two = spark.createDataFrame([(6, "bb"), (7, "ccc")], "id long, text string")
+    folder = str(tmp_path / "scores")
+    got = [{(r.id, r.text, r.size) for r in SC.cached_scores(df, "text", scorer, folder, ["size"]).collect()}
+           for df in (one, two, one, one.limit(0))]
+    assert got[0] == got[2] == {(1, "a", 1), (2, "bb", 2), (3, "a", 1), (4, None, 0), (5, "", 0)}
+    assert got[1] == {(6, "bb", 2), (7, "ccc", 3)} and got[3] == set()
+    assert calls.value == spark.read.parquet(folder).count() == 4

@@ -171,3 +171,16 @@ def test_pipeline_with_groups_and_gazetteer(spark):
     assert "- Acme Corp (ORG): 20 mentions (" in briefs["a"]
     assert "MARKETING REPORT:" in briefs[None] and "## Important Keyphrases\n" in briefs[None]
     assert all(r.num_keyphrases > 0 for r in a.metadata.collect())
+
+
+def test_late_rows_and_state_over_stops(spark, tmp_path):
+    """The watermark of earlier batches drops a late row and closes windows; the state of jobs goes on."""
+    rows = [[(0, "a"), (5, "b")], [(30, "a")], [(3, "a"), (26, "b")], [(90, "a"), (40, "b")]]
+    frames = [spark.createDataFrame(r, "h long, label string").select(
+        F.timestamp_seconds(F.col("h") * 3600).alias("ts"), "label") for r in rows]
+    out = ST.feed(frames, lambda s: ST.label_counts(s, "ts", "label", "1 day", delay="2 hours"), str(tmp_path / "w"))
+    got = {(r.window_start.day, r.label, r.cnt) for r in out.collect()}
+    assert got == {(1, "a", 1), (1, "b", 1), (2, "a", 1), (2, "b", 2)}
+    last = ST.feed(frames, lambda s: s.groupBy("label").agg(F.max("ts").alias("ts"), F.count("*").alias("n")),
+                   str(tmp_path / "c"), "complete")
+    assert {(r.label, r.n) for r in last.collect()} == {("a", 4), ("b", 3)}

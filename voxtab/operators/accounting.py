@@ -179,9 +179,11 @@ def latest_state(log: DataFrame, key: str, order_cols: Sequence[str],
 
     ``fields`` maps output names to columns. Numbers overwrite when not NULL (0
     counts), strings when neither NULL nor empty. Partial aggregation keeps one
-    candidate per field and map task, however long a job's log is.
+    candidate per field and map task, however long a job's log is. On a stream the state
+    is one such candidate per field and job; as the order columns decide, not the time of
+    arrival, it comes to the same whichever way the log is cut into batches.
     """
-    order = F.struct(*order_cols)
+    order = _one_order(log, order_cols)
     out = []
     for name, value in fields.items():
         v = F.col(value) if isinstance(value, str) else value

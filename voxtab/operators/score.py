@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,6 +100,36 @@ def score_distinct(df: DataFrame, text_col: str,
     return split_join(keyed, scored, ["_key"], "_copies").drop("_key", "_copies")
 
 
+def cached_scores(df: DataFrame, text_col: str, scorer: Callable[[DataFrame], DataFrame], folder: str,
+                  out: Sequence[str]) -> DataFrame:
+    """``df`` with the columns ``out`` that ``scorer`` adds to a text, from a table that outlives the run.
+
+    ``folder`` holds one row for each text ever scored, under a digest of the text.
+    Digests of this run that it lacks are scored, once each, and appended in one commit
+    before the join; a run that fails adds nothing, one that is repeated scores nothing
+    new. One folder belongs to one scorer, and has one writer at a time. Texts count as
+    empty where NULL. Only digests and new texts are shuffled.
+    """
+    spark = df.sparkSession
+    keyed = df.withColumn("_key", compute_once(text_key(F.coalesce(text_col, F.lit("")))))
+    counted = written(keyed.groupBy("_key").agg(F.count("*").alias("_copies")))
+    fresh = counted
+    if _has_files(spark, folder):
+        fresh = counted.join(spark.read.parquet(folder).select("_key"), "_key", "left_anti")
+    texts = split_join(keyed.select("_key", text_col), written(fresh), ["_key"], "_copies").groupBy("_key").agg(
+        F.first(text_col, ignorenulls=True).alias(text_col))
+    scorer(texts.withColumn(text_col, F.coalesce(text_col, F.lit("")))).select("_key", *out).write.mode("append").parquet(folder)
+    known = counted.join(spark.read.parquet(folder), "_key")
+    return split_join(keyed, known, ["_key"], "_copies").drop("_key", "_copies")
+
+
+def _has_files(spark: SparkSession, folder: str) -> bool:
+    try:
+        return bool(spark.read.parquet(folder).columns)
+    except AnalysisException:  # no such folder, or nothing in it
+        return False
+
+
 # --- keyphrases -----------------------------------------------------------------
 
 

@@ -982,6 +982,57 @@ def job_state(spark: SparkSession, d: str) -> DataFrame:
                           "ts", "event_type", final=O.EVENT_TYPES_DONE)
 
 
+@query(ORACLE["job_state"])
+def job_state_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stream whose batches come in the wrong order."""
+    log = _events(spark, d).withColumn("error", F.when(F.col("event_type") == "error", F.col("props")))
+    part = F.col("event_id") % 3
+    return ST.feed([log.where(part == k) for k in (2, 0, 1)], lambda rows: A.latest_state(
+        rows, "user_id", ["ts", "event_id"], {"status": "event_type", "progress": "value", "error": "error"},
+        "ts", "event_type", final=O.EVENT_TYPES_DONE), f"{K.shared_folder(spark)}/stream-{uuid.uuid4().hex}", "complete")
+
+
+#: Batches of events by their numbers: every 20th comes in the last one, whatever its time.
+_BATCH = "CASE WHEN event_id % 20 = 7 THEN 3 ELSE least(2, floor(date_diff('hour', t0, ts) * 3 / span)) END"
+_LATE_SQL = f"""bounds AS (SELECT min(ts) AS t0, date_diff('hour', min(ts), max(ts)) + 1 AS span FROM events),
+dealt AS (SELECT event_type, ts, date_trunc('day', ts) AS window_start, {_BATCH} AS batch FROM events, bounds),
+seen AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch) - INTERVAL 2 DAY AS upto FROM dealt GROUP BY batch),
+marks AS (SELECT batch, lag(upto) OVER (ORDER BY batch) AS mark, max(upto) OVER () AS last FROM seen)"""
+
+
+@query(O.with_(_LATE_SQL, body="""SELECT window_start, event_type AS label, count(*) AS cnt
+  FROM dealt JOIN marks USING (batch) WHERE (mark IS NULL OR window_start + INTERVAL 1 DAY > mark)
+  AND window_start + INTERVAL 1 DAY <= last GROUP BY 1, 2"""))
+def late_rows_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Daily counts put out once a day is over by two days; rows that come after that are dropped."""
+    events = _events(spark, d).select("event_id", "ts", "event_type")
+    t0, t1 = events.agg(F.min("ts"), F.max("ts")).first()
+    hour = F.unix_timestamp(F.date_trunc("hour", "ts")) - F.unix_timestamp(F.date_trunc("hour", F.lit(t0)))
+    span = F.unix_timestamp(F.date_trunc("hour", F.lit(t1))) - F.unix_timestamp(F.date_trunc("hour", F.lit(t0))) + 3600
+    batch = F.when(F.col("event_id") % 20 == 7, 3).otherwise(F.least(F.lit(2), F.floor(hour * 3 / span)))
+    dealt = events.withColumn("batch", batch)
+    zone = F.current_timezone()
+    dealt = dealt.withColumn("ts", F.convert_timezone(F.lit("UTC"), zone, F.col("ts")).cast("timestamp"))
+    out = ST.feed([dealt.where(F.col("batch") == k).drop("batch") for k in range(4)], lambda rows: ST.label_counts(
+        rows, "ts", "event_type", "1 day", delay="2 days"), f"{K.shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+    return out.withColumn("window_start", F.convert_timezone(zone, F.lit("UTC"), F.col("window_start").cast("timestamp_ntz")))
+
+
+@query("""SELECT count(DISTINCT text) AS texts, count(DISTINCT text) AS calls, count(*) AS rows,
+  sum(length(text))::BIGINT AS chars FROM (SELECT coalesce(text, '') AS text FROM documents
+  WHERE doc_id % 3 < 2 UNION ALL SELECT coalesce(text, '') FROM documents WHERE doc_id % 3 > 0)""")
+def score_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs over overlapping thirds share a table of scores: each different text is scored once."""
+    folder = f"{K.shared_folder(spark)}/scores-{uuid.uuid4().hex}"
+    table = docs(spark, d).select("doc_id", "text")
+    runs = [SC.cached_scores(table.where(part), "text", lambda t: t.withColumn("size", F.length("text")), folder, ["size"])
+            for part in (F.col("doc_id") % 3 < 2, F.col("doc_id") % 3 > 0)]
+    both = runs[0].unionByName(runs[1]).agg(F.count("*").alias("rows"), F.sum("size").alias("chars"))
+    calls = spark.read.parquet(folder).agg(F.count_distinct("_key").alias("texts"), F.count("*").alias("calls"))
+    return both.unionByName(calls, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in ("texts", "calls", "rows", "chars")])
+
+
 @query("""SELECT count(DISTINCT user_id) AS jobs, count(DISTINCT event_type) AS uploads
   FROM events""")
 def catalog_counts(spark: SparkSession, d: str) -> DataFrame:

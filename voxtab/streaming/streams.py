@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +28,31 @@ def drop_repeats(stream: DataFrame, text_col: str, ts_col: str, delay: str) -> D
     return keyed.dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
+def feed(batches: Sequence[DataFrame], make: Callable[[DataFrame], DataFrame], folder: str,
+         mode: str = "append") -> DataFrame:
+    """What a stream over files puts out when the files come in batches, with a stop after each.
+
+    Every batch is added to the source folder and run to its end by a new stream over the
+    same checkpoint, so state and watermark come from the batches before. ``append`` gives all
+    rows put out; ``complete`` the state after the last batch. ``folder`` is shared and empty.
+    """
+    spark, schema = batches[0].sparkSession, batches[0].schema
+    put = f"{folder}/out"
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{folder}/in")
+        made = make(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+        writer = made.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        if mode == "append":
+            run = writer.format("parquet").option("path", put).start()
+        else:
+            run = writer.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{put}/{n % 2}")).start()
+        run.awaitTermination()
+        last = run.lastProgress
+    if mode == "append":
+        return spark.read.schema(made.schema).parquet(put)
+    return spark.read.schema(made.schema).parquet(f"{put}/{last['batchId'] % 2}")
+
+
 def label_counts(scored: DataFrame, ts_col: str, label: str, width: str,
                  slide: str | None = None, delay: str | None = None) -> DataFrame:
     """window_start, label, cnt by tumbling or sliding windows; ``delay`` sets a watermark."""
