@@ -92,27 +92,37 @@ class Merges:
         return (key * self.factor >> 25) & ((1 << self.bits) - 1)
 
 
-def with_tables(df: DataFrame, merges: Merges, name: str, value: Callable[[Column], Column]) -> DataFrame:
-    """Set a column to a value that needs the rank map; the plan takes the scalar into the value, so rows don't carry it."""
-    return df.withColumn("_tables", merges.column()).withColumn(name, value(F.col("_tables"))).drop("_tables")
+def with_tables(df: DataFrame, merges: Merges, name: str, value: Callable[[Column, Column], Column]) -> DataFrame:
+    """Set a column to a value made from the rank map's slots and shifts.
+
+    The plan takes the scalar into the value, so rows don't carry it. Each row unpacks
+    the map once, so that lookups make no objects; rows should stand for many words.
+    """
+    def same(x: Column) -> Column:
+        return x
+
+    t = F.col("_tables")
+    made = let(F.transform(t["slots"], same), lambda slots: let(
+        F.transform(t["shifts"], same), lambda shifts: value(slots, shifts)))
+    return df.withColumn("_tables", merges.column()).withColumn(name, made).drop("_tables")
 
 
-def folded(word: Column, merges: Merges, tables: Column) -> Column:
+def folded(word: Column, merges: Merges, slots: Column, shifts: Column) -> Column:
     """Token ids of a word given as the ids of its bytes (an array of ints).
 
     The leftmost pair of lowest rank is merged, again and again. The state of the
     fold is the token ids, the rank of every neighbouring pair, the lowest of these
     and its place; a merge looks up two new pairs only. NULL gives NULL, no bytes
-    give no ids. tables: the rank map, as ``Merges.column`` has it.
+    give no ids. slots, shifts: the rank map.
     """
     low_bits, slot_bits = (1 << merges.bits - 3) - 1, (1 << merges.bits) - 1
 
     def joined(*parts):
         return F.flatten(F.array(*parts))
 
-    def rank(t, a, b):
+    def rank(a, b):
         return let(F.shiftleft(a.cast("bigint"), 16).bitwiseOR(b), lambda key: let(
-            F.get(t["slots"], (F.shiftright(key * merges.factor, 25) + F.get(t["shifts"], F.shiftright(
+            F.get(slots, (F.shiftright(key * merges.factor, 25) + F.get(shifts, F.shiftright(
                 key * 1640531527, 27).bitwiseAND(low_bits).cast("int"))).bitwiseAND(slot_bits).cast("int")),
             lambda h: F.when(F.shiftright(h, 16) == key, h.bitwiseAND(65535).cast("int"))
             .otherwise(NO_RANK)))
@@ -122,24 +132,24 @@ def folded(word: Column, merges: Merges, tables: Column) -> Column:
             ids.alias("ids"), r.alias("ranks"), m.alias("low"),
             F.array_position(r, m).cast("int").alias("at"))))
 
-    def merge(t, s):
+    def merge(s):
         at, low, n = s["at"], s["low"], F.size(s["ids"])
         ids = joined(F.slice(s["ids"], F.lit(1), at - 1), F.array(low), F.slice(s["ids"], at + 2, n))
-        left = F.when(at > 1, F.array(rank(t, F.get(s["ids"], at - 2), low))).otherwise(none)
-        right = F.when(at + 1 < n, F.array(rank(t, low, F.get(s["ids"], at + 1)))).otherwise(none)
+        left = F.when(at > 1, F.array(rank(F.get(s["ids"], at - 2), low))).otherwise(none)
+        right = F.when(at + 1 < n, F.array(rank(low, F.get(s["ids"], at + 1)))).otherwise(none)
         ranks = joined(F.slice(s["ranks"], F.lit(1), F.greatest(at - 2, F.lit(0))), left, right,
                        F.slice(s["ranks"], at + 2, n))
         return state(ids, ranks)
 
     none = F.array().cast("array<int>")
 
-    def fold(t, w):
+    def fold(w):
         first = state(w, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w)),
-                                    lambda a, b: rank(t, a, b)))
-        return F.aggregate(w, first, lambda s, _: F.when(s["low"] < NO_RANK, merge(t, s)).otherwise(s),
+                                    lambda a, b: rank(a, b)))
+        return F.aggregate(w, first, lambda s, _: F.when(s["low"] < NO_RANK, merge(s)).otherwise(s),
                            lambda s: s["ids"])
 
-    return F.when(F.size(word) > 1, let(tables, lambda t: fold(t, word))).otherwise(word)
+    return F.when(F.size(word) > 1, fold(word)).otherwise(word)
 
 
 def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -218,12 +228,16 @@ def hot_words(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
 
     def start(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield out_batch(batch, ["word"], bytes=byte_ids(batch.column(0), single))
+            whole = pa.array([0, len(batch)], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(whole, batch.column(0)),
+                 pa.ListArray.from_arrays(whole, byte_ids(batch.column(0), single))], names=["word", "bytes"])
 
     hot = often.where(F.col("class") >= (least if least < math.inf else 1 << 30)).select("word")
-    started = hot.mapInArrow(start, "word string, bytes array<int>")
-    return with_tables(started, vocabulary.merges, "ids", lambda t: folded(
-        F.col("bytes"), vocabulary.merges, t)).select("word", "ids").toArrow()
+    started = hot.mapInArrow(start, "word array<string>, bytes array<array<int>>")
+    found = with_tables(started, vocabulary.merges, "ids", lambda slots, shifts: F.transform(
+        "bytes", lambda w: folded(w, vocabulary.merges, slots, shifts))).select("word", "ids").toArrow()
+    return pa.table({n: found.column(n).combine_chunks().flatten() for n in ("word", "ids")})
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -331,8 +345,8 @@ def _encode(df, vocabulary, id_col, text_col, hot, finish, out):
 
     chunks = cols.mapInArrow(look_up, f"id array<{kind}>, sizes binary, codes binary, at binary, "
                                       "hot array<array<int>>, cold array<array<int>>, long array<array<int>>")
-    done = with_tables(chunks, vocabulary.merges, "cold", lambda t: let(t, lambda own: F.transform(
-        "cold", lambda w: folded(w, vocabulary.merges, own))))
+    done = with_tables(chunks, vocabulary.merges, "cold", lambda slots, shifts: F.transform(
+        "cold", lambda w: folded(w, vocabulary.merges, slots, shifts)))
     return done.mapInArrow(put_together, f"id {kind}, {out}")
 
 
