@@ -6,13 +6,14 @@ import base64
 import hashlib
 import heapq
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from voxtab.functions.values import let
 from voxtab.llm.common import documents, out_batch, written
@@ -74,6 +75,18 @@ class Merges:
             for s, packed in own:
                 self.slots[(s + shift) % size] = packed
 
+    def columns(self) -> tuple[Column, Column]:
+        """The literal rank map: slots and shifts as two constants of the plan.
+
+        They are a one-row table of a few MB in the shared folder, read as scalars. Arrays
+        written into the plan itself would be spelt out in every text of the plan that
+        the driver makes, several times a stage.
+        """
+        spark = SparkSession.getActiveSession()
+        lists = [pa.array([self.slots], pa.list_(pa.int64())), pa.array([self.shifts], pa.list_(pa.int32()))]
+        table = written(spark.createDataFrame(pa.table(lists, names=["slots", "shifts"])))
+        return table.select("slots").scalar(), table.select("shifts").scalar()
+
     def _shift_at(self, key: np.ndarray) -> np.ndarray:
         return (key * 1640531527 >> 27) & ((1 << self.bits - 3) - 1)
 
@@ -81,29 +94,32 @@ class Merges:
         return (key * self.factor >> 25) & ((1 << self.bits) - 1)
 
 
-def _numbers(values: list[int], kind: str) -> Column:
-    """A literal array: the text of the numbers, which is parsed once when the plan is made."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+def with_map(df: DataFrame, merges: Merges, name: str, value: Callable[[Column, Column], Column]) -> DataFrame:
+    """Set a column to a value made from the rank map's slots and shifts, each bound once per row.
+
+    The optimizer takes the two scalars into the value, so rows don't carry them.
+    """
+    slots, shifts = merges.columns()
+    made = let(F.col("_slots"), lambda a: let(F.col("_shifts"), lambda b: value(a, b)))
+    return df.select("*", slots.alias("_slots"), shifts.alias("_shifts")).withColumn(name, made).drop("_slots", "_shifts")
 
 
-def folded(word: Column, merges: Merges) -> Column:
+def folded(word: Column, merges: Merges, slots: Column, shifts: Column) -> Column:
     """Token ids of a word given as the ids of its bytes (an array of ints).
 
     The leftmost pair of lowest rank is merged, again and again. The state of the
     fold is the token ids, the rank of every neighbouring pair, the lowest of these
     and its place; a merge looks up two new pairs only. NULL gives NULL, no bytes
-    give no ids.
+    give no ids. slots, shifts: the rank map, see ``with_map``.
     """
-    tables = F.array(F.struct(_numbers(merges.slots, "bigint").alias("slots"),
-                              _numbers(merges.shifts, "int").alias("shifts")))
     low_bits, slot_bits = (1 << merges.bits - 3) - 1, (1 << merges.bits) - 1
 
     def joined(*parts):
         return F.flatten(F.array(*parts))
 
-    def rank(t, a, b):
+    def rank(a, b):
         return let(F.shiftleft(a.cast("bigint"), 16).bitwiseOR(b), lambda key: let(
-            F.get(t["slots"], (F.shiftright(key * merges.factor, 25) + F.get(t["shifts"], F.shiftright(
+            F.get(slots, (F.shiftright(key * merges.factor, 25) + F.get(shifts, F.shiftright(
                 key * 1640531527, 27).bitwiseAND(low_bits).cast("int"))).bitwiseAND(slot_bits).cast("int")),
             lambda h: F.when(F.shiftright(h, 16) == key, h.bitwiseAND(65535).cast("int"))
             .otherwise(NO_RANK)))
@@ -113,24 +129,24 @@ def folded(word: Column, merges: Merges) -> Column:
             ids.alias("ids"), r.alias("ranks"), m.alias("low"),
             F.array_position(r, m).cast("int").alias("at"))))
 
-    def merge(t, s):
+    def merge(s):
         at, low, n = s["at"], s["low"], F.size(s["ids"])
         ids = joined(F.slice(s["ids"], F.lit(1), at - 1), F.array(low), F.slice(s["ids"], at + 2, n))
-        left = F.when(at > 1, F.array(rank(t, F.get(s["ids"], at - 2), low))).otherwise(none)
-        right = F.when(at + 1 < n, F.array(rank(t, low, F.get(s["ids"], at + 1)))).otherwise(none)
+        left = F.when(at > 1, F.array(rank(F.get(s["ids"], at - 2), low))).otherwise(none)
+        right = F.when(at + 1 < n, F.array(rank(low, F.get(s["ids"], at + 1)))).otherwise(none)
         ranks = joined(F.slice(s["ranks"], F.lit(1), F.greatest(at - 2, F.lit(0))), left, right,
                        F.slice(s["ranks"], at + 2, n))
         return state(ids, ranks)
 
     none = F.array().cast("array<int>")
 
-    def fold(t, w):
+    def fold(w):
         first = state(w, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w)),
-                                    lambda a, b: rank(t, a, b)))
-        return F.aggregate(w, first, lambda s, _: F.when(s["low"] < NO_RANK, merge(t, s)).otherwise(s),
+                                    lambda a, b: rank(a, b)))
+        return F.aggregate(w, first, lambda s, _: F.when(s["low"] < NO_RANK, merge(s)).otherwise(s),
                            lambda s: s["ids"])
 
-    return F.when(F.size(word) > 1, F.transform(tables, lambda t: fold(t, word))[0]).otherwise(word)
+    return F.when(F.size(word) > 1, let(word, fold)).otherwise(word)
 
 
 def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -212,8 +228,37 @@ def hot_words(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
             yield out_batch(batch, ["word"], bytes=byte_ids(batch.column(0), single))
 
     hot = often.where(F.col("class") >= (least if least < math.inf else 1 << 30)).select("word")
-    return hot.mapInArrow(start, "word string, bytes array<int>").select(
-        "word", folded(F.col("bytes"), vocabulary.merges).alias("ids")).toArrow()
+    return with_map(hot.mapInArrow(start, "word string, bytes array<int>"), vocabulary.merges, "ids",
+                    lambda slots, shifts: folded(F.col("bytes"), vocabulary.merges, slots, shifts)).select(
+        "word", "ids").toArrow()
+
+
+class Known:
+    """Words with their token ids, found by a sorted hash so that lookups build no index."""
+
+    def __init__(self, table: pa.Table):
+        self.words, self.ids = (table.column(n).combine_chunks() for n in ("word", "ids"))
+        step = 1 << 16
+        keys = np.concatenate([np.zeros(0, np.uint64), *(
+            self._keys(self.words.slice(i, step)) for i in range(0, len(self.words), step))])
+        self.order = np.argsort(keys).astype(np.int32)
+        self.keys = keys[self.order]
+
+    @staticmethod
+    def _keys(words: pa.Array) -> np.ndarray:
+        return np.fromiter(map(xxh64_intdigest, words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each word stands, -1 if it isn't there. Of known words with one hash, the first is found."""
+        out = np.full(len(words), -1, np.int32)
+        if len(self.keys):
+            own = self._keys(words)
+            at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[at] == own)
+            place = self.order[at[hit]]
+            same = pc.equal(self.words.take(pa.array(place)), words.take(pa.array(hit)))
+            out[hit] = np.where(same.to_numpy(zero_copy_only=False), place, -1)
+        return out
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -267,9 +312,7 @@ def _encode(df, vocabulary, id_col, text_col, hot, finish, out):
     texts: the number of words of each text, the word numbers, and per distinct
     word its ids or its bytes.
     """
-    table = hot_words(df, vocabulary, text_col, hot)
-    known = df.sparkSession.sparkContext.broadcast(
-        (table.column("word").combine_chunks(), table.column("ids").combine_chunks()))
+    known = df.sparkSession.sparkContext.broadcast(Known(hot_words(df, vocabulary, text_col, hot)))
     cols = df.select(F.col(id_col).alias("id"), vocabulary.words(F.col(text_col)).alias("words"))
     kind = cols.schema["id"].dataType.simpleString()
     ranks, single = vocabulary.ranks, vocabulary.single
@@ -279,36 +322,37 @@ def _encode(df, vocabulary, id_col, text_col, hot, finish, out):
             words = batch.column(1)
             coded = words.flatten().dictionary_encode()
             distinct = coded.dictionary
-            place = pc.index_in(distinct, value_set=known.value[0])
-            at = pc.fill_null(place, -1).to_numpy()
+            place = known.value.places(distinct)
             size = pc.binary_length(distinct).to_numpy(zero_copy_only=False)
-            # -1: folded in the next step, -2: merged here
-            at = np.where(at >= 0, 0, np.where(size > FOLD_BYTES, -2, -1)).astype(np.int8)
-            hot = known.value[1].take(place.drop_null())
-            cold = byte_ids(distinct.filter(pa.array(at == -1)), single)
+            # 0: known, 1: merged here, 2: folded in the next step
+            at = np.where(place >= 0, 0, np.where(size > FOLD_BYTES, 1, 2)).astype(np.int8)
             long = [merged_by_heap(w.encode(), ranks)
-                    for w in distinct.filter(pa.array(at == -2)).to_pylist()]
+                    for w in distinct.filter(pa.array(at == 1)).to_pylist()]
+            values, lengths = zip(_flat(known.value.ids.take(pa.array(place[place >= 0]))),
+                                  _flat(pa.array(long, pa.list_(pa.int32()))))
+            cold = byte_ids(distinct.filter(pa.array(at == 2)), single)
             yield pa.RecordBatch.from_arrays([
                 pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch.column(0)),
                 pa.array([np.diff(words.offsets.to_numpy()).astype(np.int32).tobytes()], pa.binary()),
                 pa.array([coded.indices.to_numpy().astype(np.int32).tobytes()], pa.binary()),
                 pa.array([at.tobytes()], pa.binary()),
-                pa.ListArray.from_arrays(pa.array([0, len(hot)], pa.int32()), hot),
+                pa.array([np.concatenate(values).astype(np.int32).tobytes()], pa.binary()),
+                pa.array([np.concatenate(lengths).astype(np.int32).tobytes()], pa.binary()),
                 pa.ListArray.from_arrays(pa.array([0, len(cold)], pa.int32()), cold),
-                pa.array([long], pa.list_(pa.list_(pa.int32()))),
-            ], names=["id", "sizes", "codes", "at", "hot", "cold", "long"])
+            ], names=["id", "sizes", "codes", "at", "made", "lengths", "cold"])
 
     def put_together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for i in range(len(rows)):
                 row = {n: rows.column(k)[i] for k, n in enumerate(rows.schema.names)}
-                sizes, codes = (np.frombuffer(row[n].as_py(), np.int32) for n in ("sizes", "codes"))
-                at = np.frombuffer(row["at"].as_py(), np.int8)
-                values, lengths = zip(*[_flat(row[n].values) for n in ("hot", "cold", "long")])
-                values, lengths = np.concatenate(values), np.concatenate(lengths).astype(np.int64)
+                sizes, codes, made, lengths = (
+                    np.frombuffer(row[n].as_buffer(), np.int32) for n in ("sizes", "codes", "made", "lengths"))
+                at = np.frombuffer(row["at"].as_buffer(), np.int8)
+                folds, more = _flat(row["cold"].values)
+                values, lengths = np.concatenate([made, folds]), np.concatenate([lengths, more]).astype(np.int64)
                 begins = np.cumsum(lengths) - lengths
                 entry = np.empty(len(at), np.int64)  # by kind, in the order of the kinds' lists
-                entry[np.argsort(-at, kind="stable")] = np.arange(len(at))
+                entry[np.argsort(at, kind="stable")] = np.arange(len(at))
                 entry = entry[codes]
                 n = lengths[entry]
                 ends = np.cumsum(n)
@@ -320,8 +364,9 @@ def _encode(df, vocabulary, id_col, text_col, hot, finish, out):
                     [row["id"].values, *made.values()], names=["id", *made])
 
     chunks = cols.mapInArrow(look_up, f"id array<{kind}>, sizes binary, codes binary, at binary, "
-                                      "hot array<array<int>>, cold array<array<int>>, long array<array<int>>")
-    done = chunks.withColumn("cold", F.transform("cold", lambda w: folded(w, vocabulary.merges)))
+                                      "made binary, lengths binary, cold array<array<int>>")
+    done = with_map(chunks, vocabulary.merges, "cold", lambda slots, shifts: F.transform(
+        "cold", lambda w: folded(w, vocabulary.merges, slots, shifts)))
     return done.mapInArrow(put_together, f"id {kind}, {out}")
 
 
