@@ -293,13 +293,11 @@ def digests(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_
     pieces = vocabulary.pieces
 
     def finish(tokens: list[np.ndarray]) -> dict:
-        lists = [t.tolist() for t in tokens]
-        return {
-            "n_tokens": np.array([len(t) for t in lists], np.int64),
-            "ids_sha256": [hashlib.sha256(b" ".join(map(decimal.__getitem__, t))).hexdigest()
-                           for t in lists],
-            "decoded_sha256": [hashlib.sha256(b"".join(map(pieces.__getitem__, t))).hexdigest()
-                               for t in lists]}
+        ids, back = [], []
+        for t in map(np.ndarray.tolist, tokens):  # one text's numbers at a time
+            ids.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, t))).hexdigest())
+            back.append(hashlib.sha256(b"".join(map(pieces.__getitem__, t))).hexdigest())
+        return {"n_tokens": np.array([len(t) for t in tokens], np.int64), "ids_sha256": ids, "decoded_sha256": back}
 
     return _encode(df, vocabulary, id_col, text_col, hot, finish,
                    "n_tokens long, ids_sha256 string, decoded_sha256 string")
