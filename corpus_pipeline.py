@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtab.llm import bpe, decontaminate, language, secrets, simhash
-from voxtab.llm.common import free_name, read_table, whole_row, written
+from voxtab.llm.common import bound_batches, free_name, read_table, whole_row, written
 from voxtab.sources.catalog import shared_folder
 
 #: Likeness to the nearest language profile below which a text is in none of the languages.
@@ -22,6 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Profiles are learned from the labelled documents of the stage's input. Without
     any, every text with a letter stays.
     """
+    bound_batches(spark)
     profiles = language.learn(docs)
     if not profiles.names:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -36,6 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told apart by a digest of all their columns, so texts are shuffled
     once, to meet the digests that stay. Rows alike in every column are one.
     """
+    bound_batches(spark)
     key, name = free_name(docs, "_key"), free_name(docs, "_name")
     keyed = docs.withColumn(key, F.sha2(F.to_json(whole_row(docs)).cast("binary"), 256))
     named = keyed.withColumn(name, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(key).alias("key")))
@@ -45,6 +47,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
+    bound_batches(spark)
     found = decontaminate.occurrences(
         docs, read_table(spark, sf_dir, "benchmark"), whole_row(docs))
     return found.where(F.size("spans") == 0).select("id.*")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from voxtab.functions.values import let
-from voxtab.llm.common import documents, out_batch, written
+from voxtab.llm.common import bound_batches, documents, out_batch, written
 
 #: Longer words (in bytes) are merged with a heap, since a fold over n bytes takes n * n steps.
 FOLD_BYTES = 48
@@ -310,6 +310,7 @@ def _encode(df, vocabulary, id_col, text_col, hot, finish, out):
     texts: the number of words of each text, the word numbers, and per distinct
     word its ids or its bytes.
     """
+    bound_batches(df.sparkSession)
     known = df.sparkSession.sparkContext.broadcast(Known(hot_words(df, vocabulary, text_col, hot)))
     cols = df.select(F.col(id_col).alias("id"), vocabulary.words(F.col(text_col)).alias("words"))
     kind = cols.schema["id"].dataType.simpleString()

@@ -17,6 +17,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Bytes of text that a task turns into arrays at once. Longer texts are taken alone.
 CHUNK_BYTES = 4 << 20
+#: Bytes of a batch sent to a Python worker; Spark's own bound is 64 MB (and 10,000 rows).
+BATCH_BYTES = 8 << 20
 
 
 #: Lower case for A-Z; all of ASCII but letters and digits becomes a blank.
@@ -33,6 +35,16 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "documents")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers in bytes, unless the session sets a bound itself.
+
+    One longer row still makes a batch of its own. No result depends on the bound.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower case for A to Z alone."""
     return F.translate(text, UPPER, UPPER.lower())
