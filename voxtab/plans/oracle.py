@@ -173,6 +173,17 @@ PHRASE_TOP = """phrase_top AS (SELECT * FROM (SELECT *, row_number() OVER
   (ORDER BY cnt DESC, first) AS rank FROM (SELECT phrase, count(*) AS cnt,
   min(id * 3 + rank - 1) AS first FROM phrases WHERE rank <= 3 GROUP BY 1)) WHERE rank <= 20)"""
 
+#: The same with counts, weights and ranks inside each group.
+GROUP_PHRASE_TOP = """group_dfs AS (SELECT g, phrase, count(*) AS df FROM tf JOIN kept USING (id) GROUP BY ALL),
+group_rows AS (SELECT g, count(*) AS n FROM kept GROUP BY g),
+group_weighed AS (SELECT id, tf.phrase, pos, kept.g AS g, tf * ln(1.0 + n / df) AS raw FROM tf JOIN kept USING (id)
+  JOIN group_dfs d ON d.phrase = tf.phrase AND d.g IS NOT DISTINCT FROM kept.g
+  JOIN group_rows r ON r.g IS NOT DISTINCT FROM kept.g),
+group_phrases AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY raw DESC, pos) AS rank FROM group_weighed),
+group_phrase_top AS (SELECT * FROM (SELECT *, row_number() OVER
+  (PARTITION BY g ORDER BY cnt DESC, first) AS rank FROM (SELECT g, phrase, count(*) AS cnt,
+  min(id * 3 + rank - 1) AS first FROM group_phrases WHERE rank <= 3 GROUP BY 1, 2)) WHERE rank <= 20)"""
+
 # --- quality gate (needs SCORED, topic_summary, ENTITY_TOP) ------------------------------------
 
 _WEIGHTS = ", ".join(f"({quoted(n)}, {w}, {o})" for n, w, o, _, _ in GATE_CHECKS)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxtab.constants import EMOTIONS, PRICES, REMOVAL_REASONS, REPORT_TYPES
+from voxtab.constants import EMOTIONS, KEYPHRASES_USED, PRICES, REMOVAL_REASONS, REPORT_TYPES
 from voxtab.functions import markdown as M
 from voxtab.functions import scoring as S
 from voxtab.functions import text as X
@@ -554,6 +554,16 @@ def top_keyphrases(spark: SparkSession, d: str) -> DataFrame:
     return U.top_keyphrases(rows, "doc_id").withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(O.with_(*O.comments(), O.TOPICS, O.PHRASES, O.GROUP_PHRASE_TOP,
+               body="SELECT g AS source, rank, phrase AS keyphrase, cnt FROM group_phrase_top"))
+def keyphrases_by_source(spark: SparkSession, d: str) -> DataFrame:
+    comments = K.written(kept(spark, d, "source"))
+    first = SC.keyphrases(comments, "text", "doc_id", KEYPHRASES_USED, ["source"])
+    phrases = first.select("doc_id", "source", F.col("phrase").alias("keyphrase"), (F.col("rank") - 1).alias("pos"))
+    return U.keyphrase_ranking(phrases, "doc_id", "pos", group_cols=["source"]).select(
+        "source", F.col("rank").cast("long").alias("rank"), "keyphrase", "cnt")
+
+
 @query(O.with_(*SCORED_SQL, body="""SELECT count(*) AS n, round(avg(score), 6) AS
   sentiment_confidence, round(avg(confidence) FILTER (confidence > 0), 6) AS emotion_confidence,
   round((avg(score) + avg(confidence) FILTER (confidence > 0)) / 2, 6) AS confidence
