@@ -197,6 +197,21 @@ def text_column_candidates(spark: SparkSession, d: str) -> DataFrame:
         rounded("confidence"), F.array_join("sample_values", "\n").alias("samples"))
 
 
+_HINT = "LANG"
+
+
+@query(O.with_(O.heads(), O.COLUMN_SCORES, f"""hinted AS (SELECT *, lower(col) = lower('{_HINT}') AS hint,
+  CASE WHEN lower(col) = lower('{_HINT}') THEN 1.0 ELSE confidence END AS sure FROM col_scores)""",
+               """ranked AS (SELECT *, row_number() OVER (PARTITION BY tbl ORDER BY sure DESC, position) AS rank
+  FROM hinted WHERE sure > 0)""", body="""SELECT tbl, rank, col, round(sure, 6)::DOUBLE AS confidence, hint
+  FROM ranked WHERE rank <= 3"""))
+def hinted_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates where the user names a column in another case; tables without it are ranked as usual."""
+    return _profiles(spark, d, lambda df, key: P.text_column_candidates(df, key, hint=_HINT)).select(
+        "tbl", F.col("rank").cast("long").alias("rank"), F.col("column").alias("col"), rounded("confidence"),
+        (F.col("reason") == "Exact match with user hint").alias("hint"))
+
+
 # --- C: cleaning -------------------------------------------------------------------------------
 
 
