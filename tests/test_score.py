@@ -130,6 +130,51 @@ def test_rows_without_phrases_get_the_empty_record(spark):
     assert got[2].keyphrases == ["wonderful", "wonderful weather", "weather"]
 
 
+def test_phrases_are_neither_written_nor_shuffled(spark, monkeypatch):
+    texts = {i: f"always hot number{i % 7} and number{i % 11}" for i in range(50)}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    staged = []
+    monkeypatch.setattr(SC, "written", lambda d: staged.append(d.columns) or d)
+    for frame in (SC.keyphrases(df, "text", "id", 3), SC.with_keyphrases(df, "text", "id")):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert not staged and "Window" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("least", [1, 40, 1 << 20])
+def test_keyphrases_in_blocks_of_any_size_hold_groups_and_repeated_ids(spark, monkeypatch, least):
+    monkeypatch.setattr(SC, "LEAST_BYTES", least)
+    rng = random.Random(4)
+    vocabulary = [f"word{i:02d}" for i in range(15)] + ["......", "their"]
+    rows = [(i, g, " ".join(rng.choices(vocabulary, k=rng.randint(0, 9))))
+            for i, g in enumerate([None, "", "a"] * 12)] + [(90, "a", None), (91, "b", "lonely words")]
+    df = spark.createDataFrame(rows, "id long, g string, text string")
+    want = {}
+    for group in (None, "", "a", "b"):
+        for i, best in brute_keyphrases({i: t or "" for i, g, t in rows if g == group}, 4).items():
+            want[i] = [(group, p) for p, _ in best]
+    got = {}
+    for r in SC.keyphrases(df, "text", "id", 4, ["g"]).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((r.g, r.phrase))
+    assert got == {i: v for i, v in want.items() if v}
+    twice = SC.keyphrases(df.union(df), "text", "id", None, ["g"]).groupBy("id").agg(
+        F.count("*").alias("n"), F.max("rank").alias("last"), F.count_distinct("phrase").alias("d"))
+    assert all(r.n == r.last == 2 * r.d for r in twice.collect())
+    parts = spark.createDataFrame([(1, "x", "sunny morning"), (1, "y", "rainy evening")], df.schema)
+    assert {(r.g, r.phrase) for r in SC.keyphrases(parts, "text", "id", None, ["g"]).collect()} == {
+        ("x", "sunny"), ("x", "sunny morning"), ("x", "morning"),
+        ("y", "rainy"), ("y", "rainy evening"), ("y", "evening")}
+
+
+def test_records_keep_every_row_and_column(spark):
+    rows = [(1, "wonderful weather", [1]), (None, "wonderful weather", None), (3, None, [2, 3]), (4, "a", [])]
+    df = spark.createDataFrame(rows, "id long, text string, more array<int>")
+    got = SC.with_keyphrases(df, "text", "id")
+    assert got.columns == ["id", "text", "more", "keyphrases"]
+    assert sorted(((r.id, r.text, r.more, len(r.keyphrases.keyphrases)) for r in got.collect()), key=str) == sorted(
+        ((*r, 3 if r[0] == 1 else 0) for r in rows), key=str)
+    assert SC.with_keyphrases(df.limit(0), "text", "id").count() == 0
+
+
 def test_scorer_subset_and_defaults(spark):
     df = spark.createDataFrame([(1, "good")], "id long, text string")
     row = SC.score(df, "text", ["sentiment"]).first()
