@@ -143,6 +143,18 @@ def test_one_scan_and_no_repeated_cleaning(spark, frame, tmp_path):
     assert rest.count("<[^>]+>") == 0 and str(tmp_path / "in") not in rest
 
 
+def test_raw_texts_are_not_staged_and_few_repeats_do_not_move_texts(spark, frame, monkeypatch):
+    staged, real = [], C.written
+    monkeypatch.setattr(C, "written", lambda d: staged.append(d.columns) or real(d))
+    kept = C.clean(frame, "text", "id")
+    assert "text" not in staged[0] and "clean_text" in staged[0]
+    assert "BroadcastHashJoin" in kept._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(C, "FEW_IDS", 0)
+    shuffled = C.clean(frame, "text", "id")
+    assert "ShuffledHashJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
+    assert kept.exceptAll(shuffled).isEmpty() and shuffled.exceptAll(kept).isEmpty()
+
+
 def test_language_guess(spark):
     df = spark.createDataFrame(
         [(i, "zzz" if i % 3 == 0 else "this is it") for i in range(40)], "id long, text string")
