@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,6 +166,26 @@ def test_keyphrases_in_blocks_of_any_size_hold_groups_and_repeated_ids(spark, mo
         ("y", "rainy"), ("y", "rainy evening"), ("y", "evening")}
 
 
+def test_keyphrases_of_odd_tokens_need_no_array_functions(spark):
+    odd = "".join(f"Straße{chr(c)}" for c in (0x1c, 0x1f, 0x85, 0xa0, 0x1680, 0x2003, 0x2028, 0x3000, 9, 32))
+    texts = {1: odd, 2: "..... Quick!! ;;;;;; 'quick' quick:", 3: "!!!!ab ...... ,,,,c again again", 4: "..... !!!!!",
+             5: "ÉCLAIR\u200bs thing \x01\x02\x03\x04\x05 𝒳𝒴𝒵𝒜𝒝 𝒳𝒴𝒵𝒜", 6: "", 7: "their these"}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    found, got = SC.keyphrases(df, "text", "id"), {}
+    for r in found.orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((r.phrase, pytest.approx(r.score)))
+    assert got == {i: v for i, v in brute_keyphrases(texts, None).items() if v}
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_results_come_in_batches(monkeypatch):
+    monkeypatch.setattr(SC, "BATCH_ROWS", 4)
+    rows = pa.table({"id": [1, 2], "_text": ["sunny morning rainy evening", "sunny evening"], "_g1": [0, 0], "_g2": [0, 0]})
+    counts = SC._add_up(SC._packer(3)((pa.scalar(0),), rows))
+    out = SC._attacher("id", ["id"], [], None, False)(rows, counts)
+    assert out.num_rows == 10 and max(b.num_rows for b in out.to_batches()) == 4
+
+
 def test_records_keep_every_row_and_column(spark):
     rows = [(1, "wonderful weather", [1]), (None, "wonderful weather", None), (3, None, [2, 3]), (4, "a", [])]
     df = spark.createDataFrame(rows, "id long, text string, more array<int>")
