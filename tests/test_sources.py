@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from voxtab.plans import pipeline as PL
 from voxtab.plans.pipeline import analyse
 from voxtab.sources import catalog as K
 from voxtab.sources import csv as V
@@ -173,6 +174,17 @@ def test_pipeline_with_groups_and_gazetteer(spark):
     assert all(r.num_keyphrases > 0 for r in a.metadata.collect())
 
 
+def test_pipeline_writes_kept_texts_once(spark, monkeypatch):
+    staged, write = [], PL.written
+    monkeypatch.setattr(PL, "written", lambda d: staged.append(d.columns) or write(d))
+    df = spark.createDataFrame([(i, "a", f"great camera number {i % 4}") for i in range(6)], "id long, g string, body string")
+    a = analyse(df, "body", "id", ["g"])
+    assert sum("body" in columns for columns in staged) == 1
+    want = [(i, "a", f"great camera number {i}") for i in range(4)]
+    assert a.comments.columns == ["id", "g", "body"] and sorted(map(tuple, a.comments.collect())) == want
+    assert sorted(map(tuple, a.scored.select("id", "g", "body").collect())) == want
+
+
 def test_late_rows_and_state_over_stops(spark, tmp_path):
     """The watermark of earlier batches drops a late row and closes windows; the state of jobs goes on."""
     rows = [[(0, "a"), (5, "b")], [(30, "a")], [(3, "a"), (26, "b")], [(90, "a"), (40, "b")]]
